@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, near_dup
 
 QUERIES = {
+    "op4_near_dup": near_dup.op4_near_dup,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op4_near_dup": near_dup.oracle(),
     "op10_mixing": mixing.oracle(),
 }
