@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup
+from . import mixing, near_dup, quality, secrets
 
 QUERIES = {
+    "op8_secrets": secrets.op8_secrets,
+    "op5_quality": quality.op5_quality,
     "op4_near_dup": near_dup.op4_near_dup,
     "op10_mixing": mixing.op10_mixing,
 }
