@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, quality, secrets
+from . import chat, mixing, near_dup, quality, secrets, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op9_chat": chat.op9_chat,
     "op8_secrets": secrets.op8_secrets,
     "op5_quality": quality.op5_quality,
     "op4_near_dup": near_dup.op4_near_dup,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op3_warc": warc.oracle(),
+    "op9_chat": chat.oracle(),
     "op4_near_dup": near_dup.oracle(),
     "op10_mixing": mixing.oracle(),
 }

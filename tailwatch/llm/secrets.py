@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two second-order models (a character given the two before it) are trained from labelled samples, one on random strings and
-one on ordinary identifiers. A candidate is a run of ``CANDIDATE`` characters that overlaps no
+one on ordinary identifiers. A candidate is a run of ``CANDIDATE`` characters of mixed kinds that overlaps no
 pattern's span; it is a secret if its log-likelihood ratio, per character, exceeds ``MARGIN``.
 
 The samples are made from fixed word parts and a seeded generator (``samples``), so the models are
@@ -33,8 +33,10 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 PATTERNS = ((ASSIGN, 2, 6, (b"passw", b"secret", b"token", b"api")), (ACCESS, 0, 20, (b"akia",)))
 KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate mixes letters with digits, or capitals into small letters: prose in one case is none.
+MIXED = re.compile(rb"(?=.*[A-Za-z])(?=.*[0-9])|.+[A-Z].*[a-z]|[a-z].*[A-Z]")
 #: Natural-log ratio per character above which a candidate is a secret.
-MARGIN = 1.25
+MARGIN = 1.0
 #: Parts of ordinary identifiers, in English, French, German and Spanish.
 PARTS = (
     "the and that with from this have which their other about after before between under over "
@@ -130,7 +132,7 @@ def markov_spans(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[in
         lo, hi = m.span()
         if any(s < hi and lo < e for s, e, _ in base):
             continue
-        if ratio(m.group()) > MARGIN and not m.group().isdigit():
+        if MIXED.match(m.group()) and ratio(m.group()) > MARGIN:
             out.append((lo, hi, 3))
     return out
 
