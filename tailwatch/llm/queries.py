@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, near_dup, quality, secrets, warc
+from . import chat, mixing, near_dup, pieces, quality, secrets, warc
 
 QUERIES = {
+    "op2_pieces": pieces.op2_pieces,
     "op3_warc": warc.op3_warc,
     "op9_chat": chat.op9_chat,
     "op8_secrets": secrets.op8_secrets,
