@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, near_dup, pieces, quality, secrets, warc
+from . import chat, mixing, near_dup, pieces, quality, secrets, token_counts, topk, warc
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op6_topk": topk.op6_topk,
     "op2_pieces": pieces.op2_pieces,
     "op3_warc": warc.op3_warc,
     "op9_chat": chat.op9_chat,
@@ -14,6 +16,8 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op1_token_counts": token_counts.oracle(),
+    "op6_topk": topk.oracle(),
     "op3_warc": warc.oracle(),
     "op9_chat": chat.oracle(),
     "op4_near_dup": near_dup.oracle(),
