@@ -1,8 +1,56 @@
-"""A corpus pipeline over ``documents``: each stage is one operator of the llm subpackage."""
+"""A corpus pipeline over ``documents``: each stage is one operator of the llm subpackage.
 
-STAGES: list = []
+Stages take (spark, docs, sf_dir); each one's result is written as Parquet into the shared
+folder and read again as the next one's ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tailwatch.llm import mixing, near_dup, pieces, quality, secrets
+from tailwatch.llm.common import read, save
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and their group's fences accept."""
+    return quality.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, by five-word shingles and a similarity of 0.8."""
+    return near_dup.deduplicated(docs, ngram=5, percent=80)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes: parts of documents, and documents up to three times."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    return pieces.encoded(docs, ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dup", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+#: SQL can't express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
