@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, near_dup, pieces, quality, secrets, token_counts, topk, warc
+from . import chat, lm, mixing, near_dup, pieces, quality, secrets, token_counts, topk, warc
 
 QUERIES = {
+    "op7_lm": lm.op7_lm,
     "op1_token_counts": token_counts.op1_token_counts,
     "op6_topk": topk.op6_topk,
     "op2_pieces": pieces.op2_pieces,
