@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import CONFIG
+from ..functions.columns import ordinal, percent_rank
+from ..operators.ingest import last_known
+from ..operators.scoring import ELEVATED, HIGH, NORMAL
+
 
 def facets(df: DataFrame, stock=None, sectors=None, tiers=None, scores=None, flags: dict | None = None) -> DataFrame:
     """Rows that pass every facet that is given."""
@@ -19,3 +24,173 @@ def facets(df: DataFrame, stock=None, sectors=None, tiers=None, scores=None, fla
     for name, value in (flags or {}).items():
         df = df.where(F.col(name) == value)
     return df
+
+
+def require(df: DataFrame, names) -> DataFrame:
+    missing = set(names) - set(df.columns)
+    if missing:
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    return df
+
+
+def tier_rank() -> Column:
+    b = F.col("earnings_explosiveness_bucket")
+    return F.when(b == HIGH, 0).when(b == ELEVATED, 1).when(b == NORMAL, 2).otherwise(3)
+
+
+def shrunk_stats(events: DataFrame, *keys, prior: float = CONFIG.prior) -> DataFrame:
+    """Extreme probability per tier, drawn towards the base rate by ``prior`` events; base and lift."""
+    base = events.agg(F.avg("is_extreme_reaction").alias("base_extreme_prob"))
+    per = events.where("earnings_explosiveness_bucket IS NOT NULL").groupBy(*keys, "earnings_explosiveness_bucket")
+    per = per.agg(F.count(F.lit(1)).alias("n_events"), F.sum("is_extreme_reaction").alias("n_extreme"), F.avg("abs_reaction_3d").alias("avg_abs_reaction"))
+    per = per.crossJoin(F.broadcast(base))  # one row
+    prob = (F.col("n_extreme") + prior * F.col("base_extreme_prob")) / (F.col("n_events") + prior)
+    return per.withColumn("hist_extreme_prob", prob).withColumn("lift_vs_base", F.try_divide("hist_extreme_prob", "base_extreme_prob"))
+
+
+def dashboard(scored: DataFrame, years: int = 5) -> DataFrame:
+    """Events of the last years with their tier's statistics."""
+    events = scored.where("is_earnings_day = 1")
+    stats = shrunk_stats(events).select("earnings_explosiveness_bucket", "hist_extreme_prob", "lift_vs_base", "n_events")
+    since = scored.agg(F.add_months(F.max("date"), -12 * years).alias("_since"))
+    rows = events.crossJoin(F.broadcast(since)).where("earnings_date >= _since").join(stats, "earnings_explosiveness_bucket", "left")
+    return rows.select(
+        "stock", "earnings_date", "sector", "earnings_explosiveness_bucket", F.bround("earnings_explosiveness_score", 0).alias("score"), F.bround("hist_extreme_prob", 3).alias("hist_extreme_prob"),
+        F.bround("lift_vs_base", 3).alias("lift_vs_base"), "n_events", "reaction_3d", "is_high_conviction", "surprise_momentum_flag", "pre_earnings_drift_flag",
+    )
+
+
+_KEPT = ["earnings_date", "sector", "earnings_explosiveness_score", "earnings_explosiveness_bucket", "abs_reaction_p75", "surprise_momentum_flag", "pre_earnings_drift_flag", "days_to_earnings"]
+
+
+def latest_rows(scored: DataFrame) -> DataFrame:
+    """Per stock, the last known value of every column that the upcoming views show."""
+    return last_known(scored, "stock", "date", _KEPT)
+
+
+def upcoming(scored: DataFrame, iv: DataFrame | None = None) -> DataFrame:
+    """Stocks with an event to come, ranked among themselves."""
+    today = F.broadcast(scored.agg(F.max("date").alias("_today")))
+    rows = latest_rows(scored).crossJoin(today).where("earnings_date >= _today")
+    pct = F.coalesce((percent_rank(F.col("earnings_explosiveness_score")) * 100).cast("int"), F.lit(0))
+    sure = F.coalesce((F.col("earnings_explosiveness_bucket") == HIGH) & (F.col("pre_earnings_drift_flag") != ""), F.lit(False))
+    rows = rows.withColumns({"peer_percentile": pct, "is_high_conviction": sure, "days_to_earnings": F.datediff("earnings_date", "_today")}).drop("_today")
+    if iv is not None:
+        rows = rows.join(iv.select("stock", "expected_move_pct"), "stock", "left")
+        ratio = F.when(F.col("abs_reaction_p75") > 0, F.bround(F.try_divide("expected_move_pct", "abs_reaction_p75"), 2))
+        rows = rows.withColumn("iv_vs_hist_ratio", ratio)
+    return rows
+
+
+def fragility_labels(events: DataFrame) -> DataFrame:
+    cuts = events.agg(F.percentile("momentum_fragility_score", 0.75).alias("_p75"), F.percentile("momentum_fragility_score", 0.9).alias("_p90"))
+    s = F.col("momentum_fragility_score")
+    label = F.when(s >= F.col("_p90"), "Stretched").when(s >= F.col("_p75"), "Elevated").otherwise("")
+    return events.crossJoin(F.broadcast(cuts)).withColumn("fragility_flag", label).drop("_p75", "_p90")
+
+
+def calendar(scored: DataFrame, window_days: int = 14, back_days: int = 7) -> DataFrame:
+    """Event rows of a window that starts ``back_days`` before the last event, with statistics and labels."""
+    events = scored.where("is_earnings_day = 1")
+    ref = F.broadcast(events.agg(F.date_sub(F.max("earnings_date"), back_days).alias("_ref")))
+    rows = fragility_labels(events).crossJoin(ref).where("earnings_date BETWEEN _ref AND date_add(_ref, %d) AND earnings_explosiveness_bucket IS NOT NULL" % window_days)
+    stats = shrunk_stats(events).select("earnings_explosiveness_bucket", "hist_extreme_prob", "lift_vs_base")
+    return rows.join(stats, "earnings_explosiveness_bucket", "left").select("stock", "earnings_date", "sector", "earnings_explosiveness_bucket", "earnings_explosiveness_score", "fragility_flag", "hist_extreme_prob", "lift_vs_base")
+
+
+def calendar_days(rows: DataFrame) -> DataFrame:
+    """One row a day: its events as an ordered array, and counts."""
+    entry = F.struct("stock", "earnings_explosiveness_bucket", F.bround("earnings_explosiveness_score", 1).alias("score"))
+    return rows.groupBy(F.date_format("earnings_date", "yyyy-MM-dd").alias("day")).agg(
+        F.to_json(F.sort_array(F.collect_list(entry))).alias("entries"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("earnings_explosiveness_bucket") == HIGH).alias("n_high"))
+
+
+def effective_tier() -> Column:
+    """A tier raised by the stock's own lift; the first rule that fits wins."""
+    b, lift = F.col("earnings_explosiveness_bucket"), F.col("lift_vs_base")
+    return F.when((b == NORMAL) & (lift >= 1.5), ELEVATED).when(b.isin(NORMAL, ELEVATED) & (lift >= 3), HIGH).otherwise(b)
+
+
+def tier_class() -> Column:
+    b = F.col("earnings_explosiveness_bucket")
+    return F.when(F.col("is_high_conviction"), "hc").when(b == HIGH, "high").when(b == ELEVATED, "mid").otherwise("low")
+
+
+def last_reactions(events: DataFrame, n: int = 16) -> DataFrame:
+    """The last ``n`` reactions of each stock."""
+    w = Window.partitionBy("stock").orderBy(F.col("earnings_date").desc())
+    return events.where("reaction_3d IS NOT NULL").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("stock", "nth", "earnings_date", "reaction_3d")
+
+
+def stock_reports(scored: DataFrame, ahead: int = 7) -> DataFrame:
+    """Per stock with an event in the next ``ahead`` days: own shrunk statistics, tier, rank and text."""
+    events = scored.where("is_earnings_day = 1")
+    own = shrunk_stats(events, "stock").select("stock", "earnings_explosiveness_bucket", "hist_extreme_prob", "base_extreme_prob", "lift_vs_base", "n_events")
+    everyone = latest_rows(scored)
+    ranked = everyone.withColumn("peer_percentile", F.coalesce((percent_rank(F.col("earnings_explosiveness_score")) * 100).cast("int"), F.lit(0)))
+    today = F.broadcast(scored.agg(F.max("date").alias("_today")))
+    rows = ranked.crossJoin(today).where("earnings_date BETWEEN _today AND date_add(_today, %d)" % ahead).drop("_today")
+    rows = rows.join(own, ["stock", "earnings_explosiveness_bucket"], "left")
+    sure = F.coalesce((F.col("earnings_explosiveness_bucket") == HIGH) & (F.col("pre_earnings_drift_flag") != ""), F.lit(False))
+    rows = rows.withColumn("is_high_conviction", sure).withColumn("risk_level", effective_tier())
+    return rows.withColumn("rank_text", ordinal(F.col("peer_percentile"))).withColumn("recommendation", recommendation())
+
+
+def recommendation() -> Column:
+    """A sentence on the tier, and one for each flag that is set."""
+    pct = lambda c: F.format_string("%.0f%%", F.coalesce(F.col(c), F.lit(0.0)) * 100)
+    facts = F.concat(F.lit("Past events of this tier moved 8% or more in "), pct("hist_extreme_prob"), F.lit(" of cases, against "), pct("base_extreme_prob"), F.lit(" overall."))
+    level = F.col("risk_level")
+    head = (
+        F.when(F.col("is_high_conviction"), "High conviction: expect a large move; keep exposure through the report small or hedged.")
+        .when(level == HIGH, "High alert: a large move is likely; reduce or hedge before the report.")
+        .when(level == ELEVATED, "Elevated: a move above the usual is plausible; size positions with care.")
+        .otherwise("Normal: no sign of an unusual move.")
+    )
+    s, d = F.col("surprise_momentum_flag"), F.col("pre_earnings_drift_flag")
+    streak = F.when(s == "Beat Streak", "A streak of large beats has raised the bar.").when(s == "Miss Streak", "A streak of misses has lowered the bar.").when(s == "Erratic", "Surprises have been erratic.")
+    drift = F.when(d == "Extended", "The price has run up more than usual into the event.").when(d == "Compressed", "The price has sold off more than usual into the event.")
+    return F.concat_ws(" ", head, facts, streak, drift)
+
+
+def track_record(scored: DataFrame, weeks: int = 6) -> DataFrame:
+    """Flagged events of the last weeks with what happened; newest day first, smaller moves first."""
+    require(scored, ["stock", "earnings_date", "reaction_1d", "reaction_3d", "earnings_explosiveness_bucket", "is_high_conviction"])
+    events = scored.where("is_earnings_day = 1").withColumn("best_reaction", F.coalesce("reaction_3d", "reaction_1d"))
+    since = F.broadcast(events.agg(F.date_sub(F.max("earnings_date"), 7 * weeks).alias("_since")))
+    rows = events.crossJoin(since).where(F.col("earnings_date") >= F.col("_since")).where(F.col("earnings_explosiveness_bucket").isin(HIGH, ELEVATED)).where("best_reaction IS NOT NULL")
+    return rows.select(
+        "stock", "earnings_date", F.to_date(F.date_trunc("week", "earnings_date")).alias("week_start"), tier_class().alias("tier"),
+        F.bround(F.col("best_reaction") * 100, 2).alias("move_pct"), (F.abs("best_reaction") >= CONFIG.extreme).alias("extreme"),
+    ).orderBy(F.col("earnings_date").desc(), F.abs("move_pct"), "stock")
+
+
+def track_record_json(rows: DataFrame) -> DataFrame:
+    """The record as one JSON document: a summary and its rows."""
+    entry = F.struct(F.col("earnings_date").cast("string").alias("date"), "stock", "tier", "move_pct", "extreme")
+    doc = rows.agg(F.count(F.lit(1)).alias("events"), F.count_if("extreme").alias("extremes"), F.sort_array(F.collect_list(entry), False).alias("rows"))
+    return doc.select(F.to_json(F.struct("events", "extremes", "rows")).alias("document"))
+
+
+def week_results(scored: DataFrame, returns: DataFrame) -> DataFrame:
+    """Events of the last full week with an event, with the returns around them and whether they moved."""
+    events = scored.where("is_earnings_day = 1 AND earnings_explosiveness_bucket IS NOT NULL")
+    week = F.broadcast(events.agg(F.to_date(F.date_trunc("week", F.max("earnings_date"))).alias("_monday")))
+    rows = events.crossJoin(week).where("earnings_date BETWEEN _monday AND date_add(_monday, 4)").drop("_monday")
+    moved = F.coalesce(F.abs(F.coalesce("reaction_3d", "reaction_1d")) >= CONFIG.large, F.lit(False))
+    return rows.join(returns, ["stock", "date"], "left").withColumn("moved", moved).withColumn("tier_rank", tier_rank())
+
+
+def joined_calendar(history: DataFrame, ahead: DataFrame) -> DataFrame:
+    """History and upcoming events in one table; on a tie the history stays."""
+    both = history.withColumn("_p", F.lit(0)).unionByName(ahead.withColumn("_p", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("stock", "earnings_date").orderBy("_p")
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_p")
+
+
+def flag_text() -> Column:
+    return F.concat_ws(" · ", F.nullif("surprise_momentum_flag", F.lit("")), F.nullif("pre_earnings_drift_flag", F.lit("")))
+
+
+def status_label() -> Column:
+    return F.when(F.col("status") == "inactive", F.concat("stock", F.lit(" (inactive)"))).otherwise(F.col("stock"))

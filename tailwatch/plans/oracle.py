@@ -115,4 +115,6 @@ def sql(final: str, **more: str) -> str:
                 need.add(name)
                 todo.append(views[name])
     head = ",\n".join(f"{n} AS MATERIALIZED ({views[n]})" for n in order if n in need)
-    return f"WITH {head}\n{final}" if head else final
+    if not head:
+        return final
+    return f"WITH {head}" + (f",\n{final.removeprefix('WITH ')}" if final.startswith("WITH ") else f"\n{final}")

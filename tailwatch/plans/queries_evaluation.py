@@ -1 +1,155 @@
+"""Calibration, lift and capture, walk-forward and threshold searches over scored events.
 
+Train and test periods are parameters of the texts; the values fit the derived tables' years.
+A mask table names overlapping groups once and every statistic follows from it by one aggregation.
+"""
+
+from __future__ import annotations
+
+from .sqltext import both
+
+#: Tiers as they are reported; high conviction lies within high alert.
+TIERS = """SELECT 'Normal' AS tier, * FROM ev WHERE b = 'Normal' UNION ALL SELECT 'Elevated', * FROM ev WHERE b = 'Elevated'
+UNION ALL SELECT 'High Alert', * FROM ev WHERE b = 'High Alert' UNION ALL SELECT 'High Conviction', * FROM ev WHERE hc"""
+RATES = "count(*) AS n, [[avg(CASE WHEN a < 1e-2 THEN 1e0 ELSE 0e0 END)]] AS under_1, " + ", ".join(
+    f"[[avg(CASE WHEN a >= {t}e-2 THEN 1e0 ELSE 0e0 END)]] AS over_{t}" for t in (3, 5, 8, 10, 15))
+
+both("a10_hit_rates", f"WITH t AS ({TIERS}) SELECT tier, {RATES} FROM t WHERE a IS NOT NULL GROUP BY tier")
+both("a11_capture", """WITH t AS (SELECT * FROM (VALUES (3e-2), (5e-2), (8e-2), (10e-2), (15e-2)) AS v(threshold))
+SELECT [[threshold]] AS threshold, count(*) AS moves, count(CASE WHEN b <> 'Normal' THEN 1 END) AS flagged, [[count(CASE WHEN b <> 'Normal' THEN 1 END) / CAST(count(*) AS DOUBLE)]] AS capture
+FROM ev JOIN t ON a >= threshold WHERE b IS NOT NULL GROUP BY threshold""")
+both("a12_yearly_high_alert", "SELECT y, count(*) AS n, CAST(sum(ex) AS BIGINT) AS hits, [[avg(ex)]] AS rate FROM ev WHERE b = 'High Alert' AND a IS NOT NULL GROUP BY y")
+_RANKED = "SELECT *, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0) / count(*) OVER () AS pct FROM ev WHERE s IS NOT NULL AND a IS NOT NULL"
+both("a13_percentile_bands", f"""WITH k AS ({_RANKED}), bands AS (SELECT * FROM (VALUES ('0-50', 0e0, 5e-1), ('50-75', 5e-1, 75e-2), ('75-90', 75e-2, 9e-1), ('90-95', 9e-1, 95e-2), ('95-99', 95e-2, 99e-2), ('99-100', 99e-2, 1e0)) AS v(band, lo, hi))
+SELECT band, count(*) AS n, [[avg(ex)]] AS rate FROM k JOIN bands ON pct >= lo AND pct <= hi GROUP BY band""")
+both("a14_stats_by_stock", "SELECT stock, count(s) AS n, [[avg(s)]] AS mean, [[stddev_samp(s)]] AS sd, [[min(s)]] AS lo, [[max(s)]] AS hi FROM ev GROUP BY stock")
+both("a15_describe", "SELECT count(s) AS n, [[avg(s)]] AS mean, [[stddev_samp(s)]] AS sd, [[min(s)]] AS lo, [[QUANTILE(s, 0.25)]] AS q25, [[QUANTILE(s, 0.5)]] AS q50, [[QUANTILE(s, 0.75)]] AS q75, [[max(s)]] AS hi FROM ev")
+both("a16_correlations", "WITH k AS (SELECT * FROM ev WHERE a IS NOT NULL AND s IS NOT NULL AND vol IS NOT NULL AND bias IS NOT NULL) SELECT [[corr(s, a)]] AS s_a, [[corr(s, vol)]] AS s_vol, [[corr(s, bias)]] AS s_bias, [[corr(vol, a)]] AS vol_a, [[corr(bias, a)]] AS bias_a FROM k")
+both("a17_spearman_by_year", """WITH k AS (SELECT y, (rank() OVER (PARTITION BY y ORDER BY s) + (count(*) OVER (PARTITION BY y, s) - 1) / 2e0) AS rs, (rank() OVER (PARTITION BY y ORDER BY a) + (count(*) OVER (PARTITION BY y, a) - 1) / 2e0) AS ra
+FROM ev WHERE s IS NOT NULL AND a IS NOT NULL) SELECT y, count(*) AS n, [[corr(rs, ra)]] AS spearman FROM k GROUP BY y""")
+both("a18_histogram", """WITH m AS (SELECT min(s) AS lo, max(s) AS hi FROM ev) SELECT CAST(least(29, floor((s - lo) / nullif(hi - lo, 0e0) * 30)) AS INT) AS bin, count(*) AS n FROM ev CROSS JOIN m WHERE s IS NOT NULL GROUP BY 1""")
+_AUC = "(sum(CASE WHEN ex = 1 THEN rk ELSE 0e0 END) - CAST(sum(ex) AS DOUBLE) * (CAST(sum(ex) AS DOUBLE) + 1) / 2) / nullif(CAST(sum(ex) AS DOUBLE) * (count(*) - CAST(sum(ex) AS DOUBLE)), 0e0)"
+both("a19_auc", f"WITH k AS (SELECT ex, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0 AS rk FROM ev WHERE s IS NOT NULL AND a IS NOT NULL) SELECT count(*) AS n, [[{_AUC}]] AS auc FROM k")
+both("a20_confusion", """WITH k AS (SELECT CASE WHEN b = 'High Alert' THEN 1 ELSE 0 END AS p, ex FROM ev WHERE b IS NOT NULL AND a IS NOT NULL),
+c AS (SELECT sum(p * ex) AS tp, sum(p * (1 - ex)) AS fp, sum((1 - p) * ex) AS fn, sum((1 - p) * (1 - ex)) AS tn FROM k)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, [[tp / nullif(CAST(tp + fp AS DOUBLE), 0e0)]] AS precision_, [[tp / nullif(CAST(tp + fn AS DOUBLE), 0e0)]] AS recall_ FROM c""")
+both("a21_median_split", "WITH m AS (SELECT QUANTILE(s, 0.5) AS mid FROM ev) SELECT s > mid AS upper_half, count(*) AS n, [[avg(ex)]] AS rate FROM ev CROSS JOIN m WHERE s IS NOT NULL GROUP BY 1")
+both("a22_most_active_sector", "SELECT sector, count(*) AS n FROM ev WHERE b IN ('High Alert', 'Elevated') GROUP BY sector ORDER BY n DESC, sector LIMIT 1")
+both("a23_unique", "SELECT count(DISTINCT stock) AS stocks, count(DISTINCT sector) AS sectors, count(DISTINCT y) AS years FROM ev")
+
+
+def qcut(x: str, q: int, where: str = "true") -> str:
+    """CTEs: ``k`` with ``bin``, the number of distinct quantile edges below ``x``."""
+    edges = " UNION ".join(f"SELECT QUANTILE({x}, {i / q}) AS e FROM ev WHERE {where}" for i in range(1, q))
+    return f"edges AS ({edges}), k AS (SELECT *, {x} AS x FROM ev WHERE {x} IS NOT NULL AND a IS NOT NULL AND {where}), g AS (SELECT k.stock, k.date, k.x, k.a, k.ex, k.lg, count(CASE WHEN e < k.x THEN 1 END) AS bin FROM k CROSS JOIN edges GROUP BY k.stock, k.date, k.x, k.a, k.ex, k.lg)"
+
+
+_P, _N, _Z = "avg(ex)", "count(*)", "196e-2"
+_MID = f"({_P} + {_Z} * {_Z} / (2 * {_N})) / (1 + {_Z} * {_Z} / {_N})"
+_HALF = f"{_Z} * sqrt({_P} * (1 - {_P}) / {_N} + {_Z} * {_Z} / (4e0 * {_N} * {_N})) / (1 + {_Z} * {_Z} / {_N})"
+both("b03_decile_lift", f"WITH {qcut('p75', 10)} SELECT bin, count(*) AS n, [[min(x)]] AS lo, [[max(x)]] AS hi, [[avg(ex)]] AS rate, [[avg(ex) / (SELECT avg(ex) FROM g)]] AS lift, [[{_MID} - {_HALF}]] AS wilson_lo, [[{_MID} + {_HALF}]] AS wilson_hi FROM g GROUP BY bin")
+both("b04_quintiles", f"WITH {qcut('s', 5)} SELECT bin, count(*) AS n, [[avg(a)]] AS mean_move, [[avg(lg)]] AS large_rate, [[avg(ex)]] AS extreme_rate FROM g GROUP BY bin")
+
+
+def masks(rows: dict[str, str], source: str = "ev") -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS mask, * FROM {source} WHERE {v}" for k, v in rows.items())
+
+
+_CUTS = "c AS (SELECT QUANTILE(vr, 0.9) AS vr90, QUANTILE(p75, 0.9) AS p90, QUANTILE(s, 0.5) AS s50, QUANTILE(vol, 0.98) AS vol98, QUANTILE(vol, 0.9) AS vol90, QUANTILE(s, 0.9) AS s90 FROM ev), e AS (SELECT * FROM ev CROSS JOIN c)"
+_STATS = "count(*) AS n, [[avg(lg)]] AS large_rate, [[avg(ex)]] AS extreme_rate"
+
+
+def _masked(name: str, rows: dict[str, str]) -> None:
+    both(name, f"WITH {_CUTS}, m AS ({masks(rows, 'e')}) SELECT mask, {_STATS} FROM m GROUP BY mask")
+
+
+_masked("b05_regimes", {"all": "true", "danger": "vr >= vr90", "explosive": "p75 >= p90", "breakwater": "vr >= vr90 AND svs >= 1e0 AND p75 >= p90"})
+_masked("b06_conditional", {"all": "true", "upper": "s > s50", "stretched": "svs > 1e0", "upper stretched": "s > s50 AND svs > 1e0", "upper volatile": "s > s50 AND vr >= vr90"})
+_masked("b07_volatility_only", {"all": "true", "volatile": "vol >= vol90", "calm": "vol < vol90"})
+_masked("b10_against_volatility", {"all": "true", "top score": "s >= s90", "top volatility": "vol >= vol98", "both": "s >= s90 AND vol >= vol98"})
+_masked("b09_joint_regime", {"joint": "s >= s90 AND vr >= vr90", "rest": "NOT (s >= s90 AND vr >= vr90)"})
+both("b08_threshold_grid", """WITH q AS (SELECT * FROM (VALUES (1, 8e-1), (2, 9e-1)) AS v(i, q)),
+t AS (SELECT 1 AS i, QUANTILE(s, 0.8) AS ts, QUANTILE(vr, 0.8) AS tv FROM ev UNION ALL SELECT 2, QUANTILE(s, 0.9), QUANTILE(vr, 0.9) FROM ev),
+g AS (SELECT a.i AS i, b.i AS j, a.ts, b.tv FROM t a CROSS JOIN t b)
+SELECT [[x.q]] AS score_q, [[z.q]] AS vol_q, count(*) AS n, [[avg(ex)]] AS rate FROM ev JOIN g ON s >= ts AND vr >= tv JOIN q x ON x.i = g.i JOIN q z ON z.i = g.j GROUP BY x.q, z.q HAVING count(*) > 30""")
+both("b11_score_dispersion", """WITH m AS (SELECT min(s) AS lo, max(s) AS hi FROM ev), n AS (SELECT stock, y, (s - lo) / nullif(hi - lo, 0e0) AS x FROM ev CROSS JOIN m WHERE s IS NOT NULL),
+p AS (SELECT stock, stddev_samp(x) AS sd FROM n GROUP BY stock) SELECT [[(SELECT avg(x) FROM n)]] AS mean, [[(SELECT stddev_samp(x) FROM n)]] AS sd, [[avg(sd)]] AS within_stock, [[QUANTILE(sd, 0.5)]] AS median_within FROM p""")
+#: Frozen quintile edges of the train period; values outside its range have no bin.
+_FROZEN = "t AS (SELECT min(s) AS lo, max(s) AS hi, QUANTILE(s, 0.2) AS e1, QUANTILE(s, 0.4) AS e2, QUANTILE(s, 0.6) AS e3, QUANTILE(s, 0.8) AS e4 FROM ev WHERE y < 1998)"
+_BIN = "CASE WHEN s < lo OR s > hi THEN NULL WHEN s <= e1 THEN 0 WHEN s <= e2 THEN 1 WHEN s <= e3 THEN 2 WHEN s <= e4 THEN 3 ELSE 4 END"
+both("b12_train_test", f"WITH {_FROZEN} SELECT y >= 1998 AS test, {_BIN} AS bin, count(*) AS n, [[avg((s - lo) / nullif(hi - lo, 0e0))]] AS mean_norm, [[avg(ex)]] AS rate FROM ev CROSS JOIN t WHERE s IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2")
+both("b13_yearly_oos", """WITH k AS (SELECT y, s, a, ex FROM ev WHERE s IS NOT NULL AND a IS NOT NULL), ys AS (SELECT DISTINCT y AS test FROM k),
+t AS (SELECT test, count(*) AS n_train, min(s) AS lo, max(s) AS hi, QUANTILE(s, 0.2) AS e1, QUANTILE(s, 0.8) AS e4 FROM k JOIN ys ON y < test GROUP BY test),
+u AS (SELECT test, n_train, least(1e0, greatest(0e0, (s - lo) / nullif(hi - lo, 0e0))) AS x, s <= e1 AS low, s > e4 AS top, a, ex FROM k JOIN t ON y = test)
+SELECT test, max(n_train) AS n_train, count(*) AS n_test, [[corr(x, a)]] AS corr_move, [[avg(CASE WHEN top THEN a END)]] AS top_move, [[avg(CASE WHEN low THEN a END)]] AS low_move,
+  [[avg(CASE WHEN top THEN a END) / nullif(avg(CASE WHEN low THEN a END), 0e0)]] AS lift FROM u GROUP BY test HAVING max(n_train) >= 500 AND count(*) >= 100""")
+
+
+def _forward(name: str, cut: str, regime: str, known: str) -> None:
+    both(name, f"""WITH k AS (SELECT * FROM ev WHERE {known} AND a IS NOT NULL), t AS (SELECT {cut} FROM k WHERE y BETWEEN 1995 AND 1997),
+u AS (SELECT CASE WHEN y <= 1997 THEN 'train' ELSE 'test' END AS split, y, ex, CASE WHEN {regime} THEN 1 ELSE 0 END AS g FROM k CROSS JOIN t)
+SELECT split, y, count(*) AS n, [[avg(ex)]] AS base_rate, CAST(sum(g) AS BIGINT) AS n_regime, [[avg(CASE WHEN g = 1 THEN ex END)]] AS rate, [[avg(CASE WHEN g = 1 THEN ex END) / nullif(avg(ex), 0e0)]] AS lift,
+  [[avg(g)]] AS share, [[sum(g * ex) / nullif(CAST(sum(ex) AS DOUBLE), 0e0)]] AS capture FROM u GROUP BY split, y""")
+
+
+_forward("b14_forward_onefactor", "QUANTILE(p75, 0.9) AS c1", "p75 >= c1", "p75 IS NOT NULL")
+_forward("b15_forward_twofactor", "QUANTILE(p75, 0.8) AS c1, QUANTILE(vol, 0.8) AS c2", "p75 >= c1 AND vol >= c2", "p75 IS NOT NULL AND vol IS NOT NULL")
+_HC = {
+    "all": "true", "high alert": "b = 'High Alert'", "elevated": "b = 'Elevated'", "conviction": "hc", "extended": "b = 'High Alert' AND dflag = 'Extended'", "compressed": "b = 'High Alert' AND dflag = 'Compressed'",
+    "beat streak": "b = 'High Alert' AND sflag LIKE '%Beat Streak'", "miss streak": "b = 'High Alert' AND sflag = 'Miss Streak'", "erratic": "b = 'High Alert' AND sflag = 'Erratic'", "any flag": "b = 'High Alert' AND (sflag <> '' OR dflag <> '')",
+}
+_HCM = f"k AS (SELECT * FROM ev WHERE a IS NOT NULL AND b IS NOT NULL AND y >= 1998), m AS ({masks(_HC, 'k')}), t AS (SELECT y, sum(ex) AS hits, avg(ex) AS base FROM k GROUP BY y)"
+both("b16_conviction_by_year", f"WITH {_HCM} SELECT mask, m.y, count(*) AS n, [[avg(ex)]] AS rate, [[avg(ex) / nullif(max(base), 0e0)]] AS lift, [[sum(ex) / nullif(CAST(max(hits) AS DOUBLE), 0e0)]] AS capture FROM m JOIN t ON m.y = t.y GROUP BY mask, m.y")
+both("b16_conviction_pooled", f"WITH {_HCM}, p AS (SELECT mask, m.y, count(*) AS n, sum(ex) AS x, sum(ex) / nullif(CAST(max(hits) AS DOUBLE), 0e0) AS capture FROM m JOIN t ON m.y = t.y GROUP BY mask, m.y) SELECT mask, CAST(sum(n) AS BIGINT) AS n, [[sum(x) / CAST(sum(n) AS DOUBLE)]] AS rate, [[avg(n)]] AS per_year, [[avg(capture)]] AS avg_capture FROM p GROUP BY mask")
+_WALK = """k AS (SELECT y, b, s, ex FROM ev WHERE b IS NOT NULL AND a IS NOT NULL), ys AS (SELECT DISTINCT y AS test FROM k),
+t AS (SELECT test, b, avg(ex) AS own, (sum(ex) + 20 * avg(ex)) / (count(*) + 20e0) AS p FROM k JOIN ys ON y < test GROUP BY test, b),
+u AS (SELECT test, t.b, p, ex FROM k JOIN t ON y = test AND k.b = t.b)"""
+both("b17_oos_calibration", f"WITH {_WALK} SELECT b AS tier, count(*) AS n, [[avg(p)]] AS predicted, [[avg(ex)]] AS actual, [[abs(avg(p) - avg(ex))]] AS gap FROM u GROUP BY b")
+both("b17_oos_ece", f"WITH {_WALK}, g AS (SELECT b, count(*) AS n, abs(avg(p) - avg(ex)) AS gap FROM u GROUP BY b) SELECT [[sum(n * gap) / CAST(sum(n) AS DOUBLE)]] AS ece FROM g")
+_LOWS = ", ".join(f"({x}e0)" for x in range(55, 80, 3))
+_HIGHS = ", ".join(f"({x}e0)" for x in range(61, 95, 3))
+both("b18_threshold_search", f"""WITH k AS (SELECT y, s, ex FROM ev WHERE s IS NOT NULL AND a IS NOT NULL), ys AS (SELECT DISTINCT y AS test FROM k),
+g AS (SELECT lo, hi FROM (SELECT * FROM (VALUES {_LOWS}) AS v(lo)) CROSS JOIN (SELECT * FROM (VALUES {_HIGHS}) AS w(hi)) WHERE hi >= lo + 6),
+m AS (SELECT test, avg(ex) AS base FROM k JOIN ys ON y < test GROUP BY test),
+t AS (SELECT test, lo, hi, CASE WHEN s <= lo THEN 0 WHEN s <= hi THEN 1 ELSE 2 END AS bin, sum(ex) AS x, count(*) AS n FROM k JOIN ys ON y < test CROSS JOIN g GROUP BY 1, 2, 3, 4),
+p AS (SELECT t.test, lo, hi, bin, (x + 20 * base) / (n + 20e0) AS p FROM t JOIN m ON t.test = m.test),
+u AS (SELECT p.lo, p.hi, p.bin, count(*) AS n, abs(avg(p.p) - avg(ex)) AS gap FROM k JOIN p ON y = test AND bin = CASE WHEN s <= lo THEN 0 WHEN s <= hi THEN 1 ELSE 2 END GROUP BY p.lo, p.hi, p.bin)
+SELECT lo, hi, [[sum(n * gap) / CAST(sum(n) AS DOUBLE)]] AS ece FROM u GROUP BY lo, hi""")
+both("b19_corr_parts", """WITH k AS (SELECT stock, s, a, s - avg(s) OVER (PARTITION BY stock) AS ds, a - avg(a) OVER (PARTITION BY stock) AS da FROM ev WHERE s IS NOT NULL AND a IS NOT NULL),
+m AS (SELECT stock, avg(s) AS ms, avg(a) AS ma FROM k GROUP BY stock) SELECT [[corr(s, a)]] AS pooled, [[(SELECT corr(ms, ma) FROM m)]] AS between_stocks, [[corr(ds, da)]] AS within_stocks FROM k""")
+both("b20_bucket_profile", "SELECT b AS tier, count(*) AS n, [[avg(a)]] AS mean_move, [[QUANTILE(a, 0.5)]] AS median_move, [[avg(lg)]] AS large_rate, [[avg(ex)]] AS extreme_rate, [[avg(ex) / (SELECT avg(ex) FROM ev WHERE b IS NOT NULL AND a IS NOT NULL)]] AS lift FROM ev WHERE b IS NOT NULL AND a IS NOT NULL GROUP BY b")
+both("b20_yearly_lift", "SELECT y, count(*) AS n, [[avg(CASE WHEN b = 'High Alert' THEN ex END) / nullif(avg(ex), 0e0)]] AS lift, [[corr(s, a)]] AS corr_move FROM ev WHERE b IS NOT NULL AND a IS NOT NULL GROUP BY y")
+_DECILES = "t AS (SELECT min(s) AS lo, max(s) AS hi, " + ", ".join(f"QUANTILE(s, 0.{i}) AS e{i}" for i in range(1, 10)) + " FROM ev WHERE y < 1998)"
+_DBIN = "CASE WHEN s < lo OR s > hi THEN NULL " + " ".join(f"WHEN s <= e{i} THEN {i - 1}" for i in range(1, 10)) + " ELSE 9 END"
+both("b21_frozen_deciles", f"WITH {_DECILES} SELECT {_DBIN} AS bin, count(*) AS n, [[avg(ex)]] AS rate FROM ev CROSS JOIN t WHERE s IS NOT NULL AND a IS NOT NULL AND y >= 1998 GROUP BY 1")
+both("b22_streak_bins", "SELECT CASE WHEN streak IS NULL THEN 'none' WHEN streak <= -3 THEN 'miss 3+' WHEN streak < 0 THEN 'miss' WHEN streak < 4 THEN 'beat' WHEN streak < 6 THEN 'beat 4+' ELSE 'beat 6+' END AS bin, count(*) AS n, [[avg(ex)]] AS rate, [[avg(a)]] AS mean_move FROM ev WHERE a IS NOT NULL GROUP BY 1")
+both("b22_flag_coverage", "SELECT sflag, dflag, count(*) AS n, [[avg(ex)]] AS rate FROM ev WHERE a IS NOT NULL GROUP BY sflag, dflag")
+both("b22_drift_deciles", f"WITH {qcut('z', 10)} SELECT bin, count(*) AS n, [[avg(ex)]] AS rate, [[avg(a)]] AS mean_move FROM g GROUP BY bin")
+both("b23_conviction_stack", f"WITH k AS (SELECT * FROM ev WHERE a IS NOT NULL AND b IS NOT NULL), m AS ({masks(_HC, 'k')}) SELECT mask, count(*) AS n, CAST(sum(ex) AS BIGINT) AS hits, [[avg(ex)]] AS rate, [[avg(a)]] AS mean_move FROM m GROUP BY mask")
+both("b23_top_hits", "SELECT stock, date, [[s]] AS s, [[a]] AS a FROM ev WHERE hc AND a IS NOT NULL ORDER BY a DESC, stock, date LIMIT 20")
+both("b23_top_misses", "SELECT stock, date, [[s]] AS s, [[a]] AS a FROM ev WHERE hc AND a IS NOT NULL ORDER BY a, stock, date LIMIT 20")
+
+
+def _score(scale: str, w: str) -> str:
+    e3 = f"greatest(0e0, least(1e0, coalesce(p75r, p75) / {scale}))"
+    return f"100 * ((1 - {w}) * {e3} + {w} * greatest(0e0, least(1e0, coalesce(ent, 0e0))))"
+
+
+both("b24_scales", f"""WITH d AS (SELECT * FROM (VALUES (8e-2), (10e-2), (12e-2), (15e-2), (20e-2)) AS v(scale)), k AS (SELECT y, a, scale, {_score('scale', '15e-2')} AS x FROM ev CROSS JOIN d WHERE coalesce(p75r, p75) IS NOT NULL AND a IS NOT NULL),
+c AS (SELECT scale, y, corr(x, a) AS c FROM k GROUP BY scale, y) SELECT [[scale]] AS scale, [[avg(c)]] AS avg_corr FROM c GROUP BY scale""")
+_WS = ", ".join(f"({5 * i}e-2)" for i in range(21))
+both("b25_weight_sweep", f"""WITH d AS (SELECT * FROM (VALUES {_WS}) AS v(w)), k AS (SELECT w, ex, round({_score('12e-2', 'w')}, 9) AS x FROM ev CROSS JOIN d WHERE coalesce(p75r, p75) IS NOT NULL AND a IS NOT NULL),
+r AS (SELECT w, ex, rank() OVER (PARTITION BY w ORDER BY x) + (count(*) OVER (PARTITION BY w, x) - 1) / 2e0 AS rk FROM k) SELECT [[w]] AS w, [[{_AUC}]] AS auc FROM r GROUP BY w""")
+_FEATURES = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, a, ex FROM ev WHERE {f} IS NOT NULL AND a IS NOT NULL" for f in ("s", "p75", "med", "vol", "vr", "svs", "fr", "vx", "bias", "ent"))
+both("b25_features", f"""WITH k AS ({_FEATURES}), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2e0 AS rk FROM k)
+SELECT feature, count(*) AS n, [[corr(x, a)]] AS corr_move, [[{_AUC}]] AS auc FROM r GROUP BY feature""")
+both("b25_categories", "SELECT sector, sflag, count(*) AS n, [[avg(ex)]] AS rate FROM ev WHERE a IS NOT NULL GROUP BY sector, sflag")
+both("x09_top_decile_by_date", "WITH k AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY s) + (count(*) OVER (PARTITION BY date, s) - 1) / 2e0) / count(*) OVER (PARTITION BY date) AS pct FROM ev WHERE s IS NOT NULL AND a IS NOT NULL) SELECT pct > 9e-1 AS top, count(*) AS n, [[avg(ex)]] AS rate FROM k GROUP BY 1")
+_ROLLS = " UNION ALL ".join(
+    f"SELECT {n} AS w, y, ex, CASE WHEN count(a) OVER (PARTITION BY stock ORDER BY earnings_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) >= {n} THEN QUANTILE(a, 0.75) OVER (PARTITION BY stock ORDER BY earnings_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) WHEN count(a) OVER (PARTITION BY stock ORDER BY earnings_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 2 THEN QUANTILE(a, 0.75) OVER (PARTITION BY stock ORDER BY earnings_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS p FROM ev"
+    for n in (8, 10, 15, 20, 28))
+both("b26_window_sensitivity", f"""WITH k AS ({_ROLLS}), t AS (SELECT w, QUANTILE(p, 0.9) AS c FROM k WHERE y < 1998 GROUP BY w),
+u AS (SELECT k.w, y, avg(ex) AS base, avg(CASE WHEN p >= c THEN ex END) AS rate, sum(CASE WHEN p >= c THEN ex ELSE 0 END) / nullif(CAST(sum(ex) AS DOUBLE), 0e0) AS capture FROM k JOIN t ON k.w = t.w WHERE y >= 1998 AND p IS NOT NULL GROUP BY k.w, y)
+SELECT w, [[avg(rate / nullif(base, 0e0))]] AS avg_lift, [[QUANTILE(rate / nullif(base, 0e0), 0.5)]] AS median_lift, [[avg(CASE WHEN rate / nullif(base, 0e0) >= 3 THEN 1e0 ELSE 0e0 END)]] AS years_over_3, [[avg(capture)]] AS avg_capture FROM u GROUP BY w""")
+both("b28_stock_report", """WITH g AS (SELECT avg(ex) AS p FROM ev WHERE a IS NOT NULL) SELECT stock, count(*) AS n, CAST(sum(ex) AS BIGINT) AS hits, [[(sum(ex) + 20 * max(p)) / (count(*) + 20e0)]] AS shrunk, [[avg(a)]] AS mean_move
+FROM ev CROSS JOIN g WHERE a IS NOT NULL GROUP BY stock""")
