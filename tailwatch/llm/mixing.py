@@ -187,16 +187,16 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     marked = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_hash", F.xxhash64("text", *others))
     rows, _, slots = mix(docs, block, {"hash": F.xxhash64("text", *others)})
     pieces = taken_pieces(rows, slots, block).where("times > 0")
-    per = pieces.groupBy("doc_id", "source", "size", "hash", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("pieces"))
+    per = pieces.groupBy("doc_id", "source", "size", "hash", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("_pieces"))
     # one row of equal ones is enough: each of their packed copies is a row of ``per``
     texts = marked.dropDuplicates(["doc_id", "source", "_size", "_hash"])
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source"))
     both = texts.alias("d").join(per.alias("p"), on & (F.col("d._size") == F.col("p.size")) & (F.col("d._hash") == F.col("p.hash")))
-    both = both.select("d.*", "p.pieces", F.explode(F.sequence(F.lit(1), F.array_max(F.col("p.pieces.times")))).alias("_c"))
-    both = both.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("_c")))
-    got = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    both = both.select("d.*", "p._pieces", F.explode(F.sequence(F.lit(1), F.array_max(F.col("p._pieces.times")))).alias("_c"))
+    both = both.withColumn("_pieces", F.filter("_pieces", lambda p: p["times"] >= F.col("_c")))
+    got = F.aggregate("_pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.concat_ws(" ", F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))))
+    part = F.concat_ws(" ", F.flatten(F.transform("_pieces", lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))))
     both = both.withColumn("text", F.when(got == F.col("_size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

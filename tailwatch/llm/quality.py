@@ -155,8 +155,9 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows, judged row by row next to all its columns."""
-    return judged(docs, docs.columns).where("kept").select(*docs.columns)
+    """``docs`` without the rejected rows; its columns are carried as one, so none can clash."""
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    return judged(rows, ["_row"]).where("kept").select("_row.*")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

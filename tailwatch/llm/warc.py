@@ -182,7 +182,7 @@ def _written(batches):
 def write(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
     """Write ``pages`` (page_id, url, html) as archives under ``path``, one per partition."""
     small_batches(pages.sparkSession)
-    html = F.coalesce("html", F.lit(""))
+    pages, html = pages.select("page_id", "url", "html"), F.coalesce("html", F.lit(""))
     ids = pages.select("page_id", F.sha1(html).alias("sha1"), F.octet_length(html).alias("size")).where(F.col("size") >= min_payload)
     first = ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = save(ids.join(first, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct(), "revisits")
