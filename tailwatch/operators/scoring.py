@@ -11,7 +11,11 @@ from ..functions.columns import clip01, flag, percent_rank
 def by_day():
     return Window.partitionBy("stock").orderBy("date")
 
+#: The tiers; the labels of surprises and of drift; the values of the momentum regime.
 NORMAL, ELEVATED, HIGH = "Normal", "Elevated", "High Alert"
+LONG_BEATS, BEATS, MISSES, ERRATIC = "Extended Beat Streak", "Beat Streak", "Miss Streak", "Erratic"
+EXTENDED, COMPRESSED = "Extended", "Compressed"
+CROWDED, TREND, SHORT, CALM = 100.0, 55.0, 35.0, 0.0
 
 
 def vol_stress(df: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def momentum_regime(df: DataFrame, q: float = 0.8) -> DataFrame:
     day = Window.partitionBy("date")
     far = lambda c: F.coalesce(F.abs(c) > F.percentile(F.abs(c), q).over(day), F.lit(False))
     short, long = far("mom_5d"), far("mom_20d")
-    return df.withColumn("momentum_pressure_regime", F.when(short & long, 100.0).when(long, 55.0).when(short, 35.0).otherwise(0.0))
+    return df.withColumn("momentum_pressure_regime", F.when(short & long, CROWDED).when(long, TREND).when(short, SHORT).otherwise(CALM))
 
 
 def _over_vol(c: str) -> Column:
@@ -76,7 +80,7 @@ def tier(score: Column, cfg: Config = CONFIG) -> Column:
 def surprise_flag(df: DataFrame) -> DataFrame:
     """Set on event rows, and carried on to the rows after them; an empty flag resets."""
     streak, mean, std = F.col("surprise_streak"), F.col("surprise_mean_5"), F.col("surprise_std_5")
-    own = F.when(streak >= 6, "Extended Beat Streak").when((streak >= 4) & (mean > 0.05), "Beat Streak").when(streak <= -3, "Miss Streak").when(std > 0.20, "Erratic").otherwise("")
+    own = F.when(streak >= 6, LONG_BEATS).when((streak >= 4) & (mean > 0.05), BEATS).when(streak <= -3, MISSES).when(std > 0.20, ERRATIC).otherwise("")
     own = F.when(F.col("is_earnings_day") == 1, own)
     carried = F.last(own, ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("surprise_momentum_flag", F.coalesce(carried, F.lit("")))
@@ -84,7 +88,7 @@ def surprise_flag(df: DataFrame) -> DataFrame:
 
 def drift_flag(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """On event rows by the leak-free z; in the 60 days before by the stock's whole event history."""
-    label = lambda z: F.when(z >= 1.5, "Extended").when(z <= -1.5, "Compressed").otherwise("")
+    label = lambda z: F.when(z >= 1.5, EXTENDED).when(z <= -1.5, COMPRESSED).otherwise("")
     stats = df.where("is_earnings_day = 1").groupBy("stock").agg(F.avg("drift_30d").alias("_mean"), F.stddev_samp("drift_30d").alias("_sd"))
     df = df.join(stats, "stock", "left")
     ahead = (F.col("is_earnings_day") == 0) & F.col("days_to_earnings").between(1, 60) & (F.col("_sd") > 0)

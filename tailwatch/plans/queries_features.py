@@ -67,9 +67,6 @@ def j03(spark, sf):
     return joins.merged(derived.prices(spark, sf), derived.earnings(spark, sf), derived.stock_data(spark, sf)).select("stock", "date", "price", "earnings_date", "company_name", "sector")
 
 
-_IV = """WITH latest AS (SELECT *, row_number() OVER (PARTITION BY stock ORDER BY snapshot_date DESC, snapshot_hour DESC, event_id) AS n FROM iv_feed)"""
-
-
 @query("j04_latest_iv", sql(f"SELECT stock, snapshot_date, snapshot_hour, {r6('atm_iv expected_move_pct')} FROM (SELECT *, row_number() OVER (PARTITION BY stock ORDER BY snapshot_date DESC, snapshot_hour DESC, event_id) AS n FROM iv_feed) WHERE n = 1"))
 def j04(spark, sf):
     iv = ingest.first_of_key(derived.iv_feed(spark, sf), ["stock", "snapshot_date", "snapshot_hour"], ["event_id"])
