@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,22 @@ def full(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
 _frames: dict[tuple[str, str], str] = {}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a persisted frame as the driver ends, if its session is still there."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        return
+
+
 def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored frame, computed once per application and kept as Parquet in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _frames:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         path = f"{root.rstrip('/')}/tailwatch-scored-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, path)
         full(spark, sf_dir).write.parquet(path)
         _frames[key] = path
     return spark.read.parquet(_frames[key])
