@@ -20,10 +20,14 @@ def _features(name: str, build, view: str, names: str, ints: str = ""):
     query(name, sql(f"SELECT {KEY}, {text} FROM {view}"))(lambda spark, sf: build(spark, sf).select("stock", "date", *cols))
 
 
-def _daily(spark, sf):
+def _fresh(spark, sf):
     return features.daily(stages.loaded(spark, sf))
 
 
+def _daily(spark, sf):
+    return stages.daily_frame(spark, sf)
+
+
 @query("s01_prices", sql(f"SELECT stock, date, {r6('price')} FROM prices"))
 def s01(spark, sf):
     return derived.prices(spark, sf)
@@ -79,13 +83,13 @@ def j05(spark, sf):
     return e.select("stock", "snapshot_date", "eps_num_analysts", "eps_avg", "eps_high", "eps_low", "eps_dispersion", "eps_revision_momentum")
 
 
-_features("w01_daily_ret", _daily, "daily", "daily_ret")
-_features("w02_drift", _daily, "daily", "drift_30d drift_60d")
-_features("w03_volatility", _daily, "daily", "vol_10d vol_30d vol_ratio_10_to_30")
-_features("w05_momentum", _daily, "daily", "mom_5d mom_20d")
-_features("w06_event_distance", _daily, "daily", "", "days_to_earnings is_earnings_day is_earnings_week is_earnings_window")
-_features("w08_reactions", _daily, "daily", "reaction_1d reaction_3d reaction_5d abs_reaction_3d")
-_features("w10_reaction_class", _daily, "daily", "", "is_up is_down is_nochange is_large_reaction is_extreme_reaction")
+_features("w01_daily_ret", _fresh, "daily", "daily_ret")
+_features("w02_drift", _fresh, "daily", "drift_30d drift_60d")
+_features("w03_volatility", _fresh, "daily", "vol_10d vol_30d vol_ratio_10_to_30")
+_features("w05_momentum", _fresh, "daily", "mom_5d mom_20d")
+_features("w06_event_distance", _fresh, "daily", "", "days_to_earnings is_earnings_day is_earnings_week is_earnings_window")
+_features("w08_reactions", _fresh, "daily", "reaction_1d reaction_3d reaction_5d abs_reaction_3d")
+_features("w10_reaction_class", _fresh, "daily", "", "is_up is_down is_nochange is_large_reaction is_extreme_reaction")
 
 
 def _sector(spark, sf):
@@ -102,7 +106,7 @@ _features("x03_sector_density", _sector, "sectored", "sector_earnings_density")
 
 
 def _featured(spark, sf):
-    return stages.featured(stages.loaded(spark, sf))
+    return stages.featured_frame(spark, sf)
 
 
 def _events(spark, sf):

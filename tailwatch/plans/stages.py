@@ -1,4 +1,4 @@
-"""The stages: load, features, scores; and the persisted scored frame that marts and evaluations read."""
+"""The stages: load, daily features, all features, scores; each persisted frame is what the next reads."""
 
 from __future__ import annotations
 
@@ -28,14 +28,11 @@ def loaded(spark: SparkSession, sf_dir: str, lookback_days: int | None = None) -
 
 
 def featured(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:
-    return features.with_events(features.sector(features.daily(df, cfg)), cfg)
+    """Sector and event features of a daily frame."""
+    return features.with_events(features.sector(df), cfg)
 
 
-def full(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
-    return scoring.scored(featured(loaded(spark, sf_dir), cfg), cfg)
-
-
-_frames: dict[tuple[str, str], str] = {}
+_frames: dict[tuple, str] = {}
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -47,18 +44,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored frame, computed once per application and kept as Parquet in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A stage's frame as Parquet in the shared folder, computed once per application.
+
+    The next stage reads it several times, so without it each of those plans would hold all stages before.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _frames:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{root.rstrip('/')}/tailwatch-scored-{uuid.uuid4().hex}"
+        path = f"{root.rstrip('/')}/tailwatch-{name}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, path)
-        full(spark, sf_dir).write.parquet(path)
+        build().write.parquet(path)
         _frames[key] = path
     return spark.read.parquet(_frames[key])
 
 
+def daily_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "daily", lambda: features.daily(loaded(spark, sf_dir)))
+
+
+def featured_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "featured", lambda: featured(daily_frame(spark, sf_dir)))
+
+
+def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored frame, which marts and evaluations read."""
+    return _kept(spark, sf_dir, "scored", lambda: scoring.scored(featured_frame(spark, sf_dir)))
+
+
 def events_of(df: DataFrame) -> DataFrame:
     return df.where("is_earnings_day = 1")
 
