@@ -37,6 +37,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 K = BANDS * ROWS
 #: Longs of a packed signature.
 PACKED = K * BITS // 64
+#: Bits of the filter that spares texts the shuffle: 8 MB.
+FILTER_BITS = 2**26
 #: Chance that the estimate drops a pair right at the threshold.
 MISS = 1e-7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -225,7 +227,8 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
 def _merged(docs, rows, nodes, members, ngram: int, percent: int) -> DataFrame:
     wanted = members.select("fp").distinct().join(nodes, "fp").select(F.col("fp").alias("want"), "doc")
     wanted = save(wanted, "wanted")
-    texts = wanted.join(docs.select("doc_id", "text"), F.col("doc") == F.col("doc_id")).select("want", "text")
+    maybe = _maybe(docs.select("doc_id", "text"), wanted)
+    texts = wanted.join(maybe, F.col("doc") == F.col("doc_id")).select("want", "text")
     grams = texts.mapInArrow(_grams(ngram), "fp long, grams array<bigint>")
     sets = save(grams.dropDuplicates(["fp"]).join(nodes.drop("doc"), "fp"), "sets")
     drop(wanted)
@@ -261,6 +264,21 @@ def _merged(docs, rows, nodes, members, ngram: int, percent: int) -> DataFrame:
     return final.join(least, "top").select("fp", "component")
 
 
+def _maybe(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``docs`` without most of those that are not ``wanted``, by a bitmap of hashed ids.
+
+    The bitmap's size is fixed, so it can be broadcast: it spares most texts the shuffle as long as
+    the wanted ids are fewer than its bits, and lets all pass, still rightly, where they are many more.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = wanted.select(place("doc").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    at = F.bitmap_bit_position(place("doc_id")).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("map"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place("doc_id")) == F.col("bucket"))
+    return found.where(F.floor(byte / F.pow(F.lit(2), at.bitwiseAND(F.lit(7)))) % 2 == 1).select("doc_id", "text")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
     x = pairs.join(sets.select(F.col("fp").alias("a"), "n", "grams"), "a").alias("x")
@@ -278,14 +296,19 @@ def _second(rest: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     inside = inside.distinct().join(sets, "fp").alias("y")
     same = F.col("x.main") == F.col("y.main")
     one = inside.join(alone, same & _plausible("x", "y", percent) & _linked("x", "y", percent)).select(F.col("x.root").alias("a"), F.col("x.main").alias("b"))
-    # with each other
-    light = rest.select("key", "fp", "root").join(sets.drop("grams"), "fp")
+    # with each other, where they lie beside the same component: again only links come out
+    lone = alone.select("fp", "root", "main", "n", "grams", *[f"s{i}" for i in range(PACKED)])
+    x, y = lone.alias("x"), lone.alias("y")
+    apart = (F.col("x.main") == F.col("y.main")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+    beside = x.join(y, apart & _plausible("x", "y", percent) & _linked("x", "y", percent)).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
+    # and in buckets without any component yet, by their candidate pairs
+    light = rest.where("main IS NULL").select("key", "fp", "root").join(sets.drop("grams"), "fp")
     x, y = light.alias("x"), light.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
     pairs = x.join(y, apart & _plausible("x", "y", percent)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct()
     pairs = save(pairs, "pairs")
     two = _confirmed(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return one.union(two)
+    return one.union(beside).union(two)
 
 
 def deduplicated(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
