@@ -12,7 +12,8 @@ members to one leader, the least node, so that nearly all buckets lie in one com
 first round. In the second, only members outside their bucket's largest component are compared: with
 that component's members, and with each other. This checks every candidate pair that could still
 join two components, so the components are those of the full link graph. Components come from the
-large-star / small-star iteration on distributed edge tables in the shared folder.
+large-star / small-star iteration on distributed edge tables in the shared folder; a table of at most
+``SMALL_EDGES`` edges is joined by one executor task instead, with the same result.
 
 Cases: documents without words or text link with nothing and are kept; rows with a null ``doc_id``
 take no part and are kept; rows with one ``doc_id`` are one document, whose sets are all its own; extra
@@ -37,6 +38,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 K = BANDS * ROWS
 #: Longs of a packed signature.
 PACKED = K * BITS // 64
+#: Edges up to which one task joins components, in a few MB; more go by rounds over all partitions.
+SMALL_EDGES = 500_000
 #: Bits of the filter that spares texts the shuffle: 8 MB.
 FILTER_BITS = 2**26
 #: Chance that the estimate drops a pair right at the threshold.
@@ -181,6 +184,8 @@ def connected(edges: DataFrame) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = save(edges.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "edges")
     state = _state(now)
+    if state[0] <= SMALL_EDGES:
+        return save(now.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -193,7 +198,27 @@ def connected(edges: DataFrame) -> DataFrame:
         state = _state(now)
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return now.toDF("node", "root").union(now.select("v", "v").distinct())
+
+
+def _joined(batches):
+    """Components of a bounded number of edges, in one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "root"])
 
 
 def _state(edges: DataFrame) -> tuple:
