@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import drop, read, save, small_batches
+from .common import buckets, drop, read, save, small_batches
 
 BANDS, ROWS, BITS = 32, 4, 4
 K = BANDS * ROWS
@@ -40,8 +40,10 @@ K = BANDS * ROWS
 PACKED = K * BITS // 64
 #: Edges up to which one task joins components, in a few MB; more go by rounds over all partitions.
 SMALL_EDGES = 500_000
-#: Bits of the filter that spares texts the shuffle: 8 MB.
-FILTER_BITS = 2**26
+#: Bits of the filter that spares texts the shuffle: 1 MB.
+FILTER_BITS = 2**23
+#: Nodes of a component that are compared in one part.
+PART = 256
 #: Chance that the estimate drops a pair right at the threshold.
 MISS = 1e-7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -311,21 +313,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("x.b") == F.col("y.b")) & _linked("x", "y", percent)).select("x.a", "x.b")
 
 
+def _salted(few: DataFrame, many: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(few, many) with their sets, dealt by (main, salt): the ``many`` of a component in parts of about
+    ``PART`` nodes, and the ``few`` beside it with each part. So no key is large, at any size of a component."""
+    n = buckets(sets.sparkSession)
+    parts = many.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
+    left = few.join(parts, "main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = many.join(parts, "main").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    return tuple(d.drop("parts").join(sets, "fp").repartition(n, "main", "salt").alias(name) for d, name in ((left, "x"), (right, "y")))
+
+
+def _together(percent: int, first: Column | None = None) -> Column:
+    same = (F.col("x.main") == F.col("y.main")) & (F.col("x.salt") == F.col("y.salt"))
+    if first is not None:
+        same = same & first
+    return same & _plausible("x", "y", percent) & _linked("x", "y", percent)
+
+
 def _second(rest: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components, as pairs of roots (a, b)."""
     # with the bucket's largest component: the condition is inside the join, so only links come out
-    alone = rest.where("main IS NOT NULL").select("fp", "root", "main").distinct().join(sets, "fp").alias("x")
-    inside = rest.where("main IS NOT NULL").select("main").distinct()
-    inside = inside.join(roots.select("node", F.col("root").alias("main")), "main").select(F.col("node").alias("fp"), "main")
-    inside = inside.unionByName(rest.select(F.col("main").alias("fp"), "main").where("main IS NOT NULL").distinct())
-    inside = inside.distinct().join(sets, "fp").alias("y")
-    same = F.col("x.main") == F.col("y.main")
-    one = inside.join(alone, same & _plausible("x", "y", percent) & _linked("x", "y", percent)).select(F.col("x.root").alias("a"), F.col("x.main").alias("b"))
+    alone = rest.where("main IS NOT NULL").select("fp", "root", "main").distinct()
+    mains = alone.select("main").distinct()
+    inside = mains.join(roots.select("node", F.col("root").alias("main")), "main").select(F.col("node").alias("fp"), "main")
+    inside = inside.union(mains.select("main", "main")).distinct()
+    x, y = _salted(alone, inside, sets)
+    one = y.join(x, _together(percent)).select(F.col("x.root").alias("a"), F.col("x.main").alias("b"))
     # with each other, where they lie beside the same component: again only links come out
-    lone = alone.select("fp", "root", "main", "n", "grams", *[f"s{i}" for i in range(PACKED)])
-    x, y = lone.alias("x"), lone.alias("y")
-    apart = (F.col("x.main") == F.col("y.main")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
-    beside = x.join(y, apart & _plausible("x", "y", percent) & _linked("x", "y", percent)).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
+    x, y = _salted(alone, alone, sets)
+    apart = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+    beside = y.join(x, _together(percent, apart)).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
     # and in buckets without any component yet, by their candidate pairs
     light = rest.where("main IS NULL").select("key", "fp", "root").join(sets.drop("grams"), "fp")
     x, y = light.alias("x"), light.alias("y")
