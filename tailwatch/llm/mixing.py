@@ -30,7 +30,7 @@ REPEAT = 3
 #: Words of a block, slots of an output shard, documents of a stream bucket.
 BLOCK = 64
 SHARD = 4096
-BUCKET = 4096
+BUCKET = 512
 #: Slots generated from one chunk row.
 CHUNK = 16384
 #: Swap-or-not rounds of a permutation, and the prime of its arithmetic.
@@ -152,7 +152,8 @@ def taken_pieces(docs: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataF
     lo = F.greatest(F.col("off"), F.col("block") * F.lit(block))
     hi = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * F.lit(block))
     pieces = pieces.withColumn("start", lo - F.col("off")).withColumn("words", hi - lo)
-    return pieces.join(usage, ["rank", "block"], "left")
+    # Spark takes generated rows for few: without the hint it would broadcast all blocks
+    return pieces.join(usage.hint("merge"), ["rank", "block"], "left")
 
 
 def _base(docs: DataFrame, keys: dict) -> DataFrame:
