@@ -38,11 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage of ``df`` with a table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

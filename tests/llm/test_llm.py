@@ -382,6 +382,30 @@ def test_base_scores_equal_brute_force_and_the_model_learns(spark):
     assert all(r.score < 0 for r in got)
 
 
+@needs_model
+def test_every_training_document_is_fitted_on(spark, monkeypatch):
+    seen = []
+
+    def fitted(data, weights, cut):
+        seen.extend(np.frombuffer(r.w, np.int16).reshape(-1, 3 * lm.WINDOW + 1) for r in data.mapInArrow(cut, "w binary").collect())
+        return weights
+
+    monkeypatch.setattr(lm, "fitted", fitted)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(i, "the nation and other stations " * (i % 20), "en", "s") for i in range(100)]
+    lm.scored(documents(spark, rows)).collect()
+    live = sum(int(w[:, 2 * lm.WINDOW : 3 * lm.WINDOW].sum()) for w in seen)
+    ids, _ = pieces.codec().encode_packed([t.rstrip() for i, t, *_ in rows if not held(i)])
+    assert live == len(ids) + sum(not held(i) for i, *_ in rows)
+
+
+@needs_model
+def test_scores_without_training_documents_are_the_prior(spark):
+    i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (a, b) = lm.scored(documents(spark, [(i, "the nation", "en", "s"), (i, "nation the", "en", "s")])).collect()
+    assert a.held_out and a.train_tokens == 0 and abs(a.score - b.score) < 1e-4
+
+
 def model(seed=0, n=500):
     rng = np.random.default_rng(seed)
     return lm.Classes(rng.integers(1, 100, n).astype(float), rng.random(n) < 0.4), rng
