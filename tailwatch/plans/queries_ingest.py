@@ -49,8 +49,15 @@ _FIVE = [f"S{i:05d}" for i in range(5)]
 
 @query("s14_close_matrix", sql(f"SELECT date, stock, {r6('price')} FROM prices WHERE stock IN ({', '.join(repr(s) for s in _FIVE)})"))
 def s14(spark, sf):
-    wide = derived.prices(spark, sf).where(F.col("stock").isin(_FIVE)).groupBy("date").pivot("stock", _FIVE).agg(F.first("price"))
-    return files.close_matrix(wide, _FIVE)
+    """Of the matrices of all stocks, the rows of five."""
+    return s14_all(spark, sf).where(F.col("stock").isin(_FIVE))
+
+
+@query("s14_close_matrix_all", sql(f"SELECT date, stock, {r6('price')} FROM prices"))
+def s14_all(spark, sf):
+    prices = derived.prices(spark, sf)
+    batches = files.batched(prices.select("stock"))
+    return files.close_rows(files.close_matrices(prices, batches), batches)
 
 
 @query("p01_parse", "SELECT event_id, try_cast(CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS number, CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) END AS day FROM events")

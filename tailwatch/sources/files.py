@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import parse_date, parse_number
@@ -65,6 +65,25 @@ def close_matrix(wide: DataFrame, tickers) -> DataFrame:
     return wide.unpivot(["date"], list(tickers), "stock", "price").where("price IS NOT NULL")
 
 
+def batched(stocks: DataFrame, size: int = 100) -> DataFrame:
+    """(stock, batch, slot) of a table of stocks, which is one row each: batches of ``size`` in order of their names."""
+    n = F.row_number().over(Window.orderBy("stock")) - 1
+    return stocks.select("stock").distinct().select("stock", F.floor(n / size).cast("int").alias("batch"), (n % size).cast("string").alias("slot"))
+
+
+def close_matrices(prices: DataFrame, batches: DataFrame, size: int = 100) -> DataFrame:
+    """(date, batch, a column per slot) of (stock, date, price): the matrix of each batch of stocks."""
+    slots = [str(i) for i in range(size)]
+    return prices.join(batches, "stock").groupBy("date", "batch").pivot("slot", slots).agg(F.first("price"))
+
+
+def close_rows(wide: DataFrame, batches: DataFrame) -> DataFrame:
+    """(date, stock, price) from the matrices of all batches, without gaps."""
+    slots = [c for c in wide.columns if c not in ("date", "batch")]
+    rows = wide.unpivot(["date", "batch"], slots, "slot", "price").where("price IS NOT NULL")
+    return rows.join(batches, ["batch", "slot"]).select("date", "stock", "price")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
