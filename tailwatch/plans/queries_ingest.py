@@ -28,14 +28,25 @@ def s05(spark, sf):
 
 @query("s12_price_payload", sql(f"SELECT stock, date, {r6('price')} FROM prices WHERE date > {_TODAY} - 200"))
 def s12(spark, sf):
-    recent = _with_today(derived.prices(spark, sf), spark, sf).where(F.col("date") > F.date_sub("_today", 200))
+    """Of all rows, which go through the payload, the last 200 days."""
+    return _with_today(s12_all(spark, sf), spark, sf).where(F.col("date") > F.date_sub("_today", 200)).drop("_today")
+
+
+@query("s12_price_payload_all", sql(f"SELECT stock, date, {r6('price')} FROM prices"))
+def s12_all(spark, sf):
     body = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("string"), F.col("price").cast("string")))))
-    return files.price_payload(recent.groupBy("stock").agg(body.alias("body")))
+    return files.price_payload(derived.prices(spark, sf).groupBy("stock").agg(body.alias("body")))
 
 
 @query("s13_earnings_payload", sql(f"SELECT stock, earnings_date, {r6('reported_eps estimated_eps surprise_percentage')} FROM earnings WHERE earnings_date > {_TODAY} - 400"))
 def s13(spark, sf):
-    e = _with_today(derived.earnings(spark, sf), spark, sf).where(F.col("earnings_date") > F.date_sub("_today", 400))
+    """Of all rows, which go through the payload, the last 400 days."""
+    return _with_today(s13_all(spark, sf), spark, sf).where(F.col("earnings_date") > F.date_sub("_today", 400)).drop("_today")
+
+
+@query("s13_earnings_payload_all", sql(f"SELECT stock, earnings_date, {r6('reported_eps estimated_eps surprise_percentage')} FROM earnings"))
+def s13_all(spark, sf):
+    e = derived.earnings(spark, sf)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     row = F.struct(
         F.col("earnings_date").cast("string").alias("reportedDate"), F.lit("").alias("fiscalDateEnding"), text("reported_eps").alias("reportedEPS"), text("estimated_eps").alias("estimatedEPS"),

@@ -17,6 +17,24 @@ def test_close_matrices_equal_their_sql(spark, tables, name):  # noqa: F811
     equals_its_sql(spark, tables, name)
 
 
+@pytest.mark.parametrize("name", ["s12_price_payload", "s12_price_payload_all", "s13_earnings_payload", "s13_earnings_payload_all"])
+def test_payloads_equal_their_sql(spark, tables, name):  # noqa: F811
+    equals_its_sql(spark, tables, name)
+
+
+@pytest.mark.parametrize("name, reader, table", [("s12_price_payload", "price_payload", derived.prices), ("s13_earnings_payload", "earnings_payload", derived.earnings)])
+def test_every_row_goes_through_a_payload(spark, monkeypatch, name, reader, table):
+    parse, parsed = getattr(files, reader), []
+
+    def counted(raw):
+        parsed.append(parse(raw).count())
+        return parse(raw)
+
+    monkeypatch.setattr(files, reader, counted)
+    registry.QUERIES[name](spark, SF).count()
+    assert parsed == [table(spark, SF).count()]
+
+
 def test_close_matrices_cover_every_stock_in_several_batches(spark):
     prices = derived.prices(spark, SF).unionByName(derived.prices(spark, SF).withColumn("stock", F.concat(F.lit("T"), "stock")))
     batches = files.batched(prices.select("stock"), 3)
