@@ -42,5 +42,5 @@ CONFIG = Config()
 #: The columns that an incremental run takes over from the last full one.
 CACHED = (
     "abs_reaction_median abs_reaction_p75 abs_reaction_p75_rolling abs_reaction_p90_rolling reaction_std reaction_entropy "
-    "directional_bias surprise_mean_5 surprise_std_5 surprise_streak earnings_explosiveness_score earnings_explosiveness_bucket surprise_momentum_flag"
+    "directional_bias surprise_mean_5 surprise_std_5 surprise_streak pre_earnings_drift_z earnings_explosiveness_score earnings_explosiveness_bucket"
 ).split()

@@ -105,23 +105,25 @@ def move_bucket() -> Column:
     return F.when(known & (a < p75), 0).when(known & (a < p90), 1).when(known & (a >= p90), 2)
 
 
-def scored(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:
-    """All scores and flags."""
+def scored(df: DataFrame, cfg: Config = CONFIG, cached: bool = False) -> DataFrame:
+    """All scores and flags; those that need complete reactions are in ``df`` already if ``cached``."""
     df = momentum_regime(vol_stress(df))
     bias = df.agg(F.percentile(F.abs("directional_bias"), 0.9).alias("_bias"))
     df = df.crossJoin(F.broadcast(bias))  # one row
     entropy = F.last("reaction_entropy", ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     score = explosiveness(cfg, F.coalesce("abs_reaction_p75_rolling", "abs_reaction_p75"), F.col("_entropy"))
+    whole = {} if cached else {"earnings_explosiveness_score": score, "earnings_move_bucket": move_bucket()}
     df = df.withColumn("_entropy", entropy).withColumns({
         "earnings_explosiveness_z": _over_vol("abs_reaction_median"),
         "earnings_tail_z": _over_vol("abs_reaction_p75"),
         "proximity_score": proximity(F.col("days_to_earnings"), F.col("is_earnings_week"), F.col("is_earnings_window")),
         "vol_expansion_score": vol_expansion(),
         "momentum_fragility_score": fragility(cfg, F.col("_bias")),
-        "earnings_explosiveness_score": score,
-        "earnings_move_bucket": move_bucket(),
+        **whole,
     }).drop("_bias", "_entropy")
     df = drift_flag(surprise_flag(df), cfg)
-    df = df.withColumn("earnings_explosiveness_bucket", tier(F.col("earnings_explosiveness_score"), cfg)).withColumn("risk_score", F.col("earnings_explosiveness_score"))
+    if not cached:
+        df = df.withColumn("earnings_explosiveness_bucket", tier(F.col("earnings_explosiveness_score"), cfg))
+    df = df.withColumn("risk_score", F.col("earnings_explosiveness_score"))
     sure = (F.col("earnings_explosiveness_bucket") == HIGH) & (F.col("pre_earnings_drift_flag") != "")
     return df.withColumn("is_high_conviction", F.coalesce(sure, F.lit(False)))

@@ -8,7 +8,7 @@ from ..functions.columns import ordinal
 from ..operators import ingest
 from ..sources import derived
 from . import marts, stages
-from .oracle import r6, sql
+from .oracle import VIEWS, r6, sql
 from .queries_features import AROUND, _around, j04
 from .registry import query
 
@@ -183,3 +183,25 @@ def l02(spark, sf):
     rows = stages.incremental(spark, sf, stages.scored_frame(spark, sf))
     today = F.broadcast(rows.agg(F.max("date").alias("_today")))
     return rows.crossJoin(today).where("date >= date_sub(_today, 20)").select("stock", "date", "daily_ret", "earnings_explosiveness_score")
+
+
+@query("l02_incremental_all")
+def l02_all(spark, sf):
+    """All rows and columns of the short run."""
+    return stages.incremental(spark, sf, stages.scored_frame(spark, sf))
+
+
+@query("l02_incremental_upcoming")
+def l02_upcoming(spark, sf):
+    """What the short run exports."""
+    return marts.upcoming(stages.incremental(spark, sf, stages.scored_frame(spark, sf)))
+
+
+_SINCE = "(SELECT max(date) FROM prices) - 90"
+_RECENT = VIEWS["base"].replace("FROM prices p", f"FROM (SELECT * FROM prices WHERE date >= {_SINCE}) p").replace("LEFT JOIN dedup e", f"LEFT JOIN (SELECT * FROM dedup WHERE earnings_date >= {_SINCE}) e")
+_FEATURES = "daily_ret drift_30d drift_60d vol_10d vol_30d mom_5d mom_20d vol_ratio_10_to_30 sector_drift_60d sector_vol_10d sector_vol_30d stock_vs_sector_vol sector_earnings_density"
+
+
+@query("l02_incremental_features", sql(f"SELECT stock, date, earnings_date, days_to_earnings, is_earnings_day, is_earnings_week, is_earnings_window, {r6(_FEATURES)} FROM sectored", base=_RECENT))
+def l02_features(spark, sf):
+    return stages.recent_features(spark, sf).select("stock", "date", "earnings_date", "days_to_earnings", "is_earnings_day", "is_earnings_week", "is_earnings_window", *_FEATURES.split())

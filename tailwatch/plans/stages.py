@@ -77,10 +77,15 @@ def events_of(df: DataFrame) -> DataFrame:
 
 
 def incremental(spark: SparkSession, sf_dir: str, cached: DataFrame, cfg: Config = CONFIG) -> DataFrame:
-    """The short run: recent rows get their daily features anew, and each stock's slow-moving values
-    are its last known ones of the scored frame."""
-    recent = features.sector(features.daily(loaded(spark, sf_dir, cfg.lookback_days), cfg))
-    return recent.join(ingest.last_known(cached, "stock", "date", CACHED), "stock", "left")
+    """The short run: recent rows get their daily features, scores and flags anew, and each stock's slow-moving
+    values are its last known ones of the scored frame. ``marts.upcoming`` of it is the export."""
+    recent = recent_features(spark, sf_dir, cfg).join(ingest.last_known(cached, "stock", "date", CACHED), "stock", "left")
+    return scoring.scored(recent, cfg, cached=True)
+
+
+def recent_features(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    """Daily and sector features of the short run."""
+    return features.sector(features.daily(loaded(spark, sf_dir, cfg.lookback_days), cfg))
 
 
 def assert_fresh(df: DataFrame, today, days: int = CONFIG.stale_days) -> DataFrame:
