@@ -242,16 +242,17 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     banded = nodes.select("fp", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = save(banded.join(leaders.drop("members"), "key"), "members")
-    if members.isEmpty():
+    several = rows.where("fp IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b < x")
+    if members.isEmpty() and several.isEmpty():
         parts = nodes.select("fp", F.col("doc").alias("component"))
     else:
-        parts = _merged(docs, rows, nodes.drop("bands"), members, ngram, percent)
+        parts = _merged(docs, rows, nodes.drop("bands"), members, several, ngram, percent)
     parts = save(parts, "components")
     out = rows.select("doc_id", "n", "fp").join(parts, "fp", "left")
     return out.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
 
-def _merged(docs, rows, nodes, members, ngram: int, percent: int) -> DataFrame:
+def _merged(docs, rows, nodes, members, several, ngram: int, percent: int) -> DataFrame:
     wanted = members.select("fp").distinct().join(nodes, "fp").select(F.col("fp").alias("want"), "doc")
     wanted = save(wanted, "wanted")
     maybe = _maybe(docs.select("doc_id", "text"), wanted)
@@ -266,8 +267,7 @@ def _merged(docs, rows, nodes, members, ngram: int, percent: int) -> DataFrame:
     pairs = pairs.join(light.alias("a"), "fp").join(light.withColumnRenamed("fp", "leader").alias("b"), "leader")
     pairs = save(pairs.where(_plausible("a", "b", percent)).select("fp", "leader"), "pairs")
     first = _confirmed(pairs.toDF("a", "b"), sets, percent)
-    # rows with one doc_id are one document
-    several = rows.where("fp IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b < x")
+    # rows with one doc_id are one document, also where no set shares a band
     same = rows.where("fp IS NOT NULL").join(several, "doc_id").select(F.col("fp").alias("a"), "b")
     roots = connected(first.union(same))
     drop(pairs)

@@ -96,6 +96,15 @@ def test_a_large_group_of_loose_copies(spark):
     assert got == brute_components(rows, 4, 80) and len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_repeated_ids_join_sets_that_share_no_band(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL_EDGES", small)
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (3, b, "en", "s")]
+    got = {r.doc_id: r.component for r in near_dup.components(documents(spark, rows), 4, 80).collect()}
+    assert got == brute_components(rows, 4, 80) == {1: 1, 5: 1, 3: 1}
+
+
 def test_deduplicated_keeps_one_of_each_group_and_all_columns(spark):
     rows = corpus()
     docs = documents(spark, rows + [(None, "no id", "en", "s"), (None, "no id", "en", "s")], extra=True)
