@@ -40,9 +40,10 @@ def expanding(f, x: Column, w: WindowSpec, least: int = 1) -> Column:
 def percent_rank(x: Column, *keys) -> Column:
     """Rank with average ties over the number of values, within ``keys``; NULL stays NULL."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    rank = F.rank().over(part.orderBy(x.asc_nulls_last()))
-    ties = F.count(x).over((Window.partitionBy(*keys, x) if keys else Window.partitionBy(x)))
-    return F.when(x.isNotNull(), (rank + (ties - 1) / 2.0) / F.count(x).over(part))
+    n = F.count(x).over(part)
+    up, down = F.rank().over(part.orderBy(x.asc_nulls_last())), F.rank().over(part.orderBy(x.desc_nulls_last()))
+    # equal values span the ranks up .. n - down + 1, so one partitioning serves ties too
+    return F.when(x.isNotNull(), (up + n - down + 1) / 2.0 / n)
 
 
 def shannon_entropy(values: Column, bins: int = 8) -> Column:

@@ -63,7 +63,7 @@ def _masked(name: str, rows: dict[str, str]) -> None:
     both(name, f"WITH {_CUTS}, m AS ({masks(rows, 'e')}) SELECT mask, {_STATS} FROM m GROUP BY mask")
 
 
-_masked("b05_regimes", {"all": "true", "danger": "vr >= vr90", "explosive": "p75 >= p90", "breakwater": "vr >= vr90 AND svs >= 1e0 AND p75 >= p90"})
+_masked("b05_regimes", {"all": "true", "danger": "vr >= vr90", "explosive": "p75 >= p90", "stressed": "vr >= vr90 AND svs >= 1e0 AND p75 >= p90"})
 _masked("b06_conditional", {"all": "true", "upper": "s > s50", "stretched": "svs > 1e0", "upper stretched": "s > s50 AND svs > 1e0", "upper volatile": "s > s50 AND vr >= vr90"})
 _masked("b07_volatility_only", {"all": "true", "volatile": "vol >= vol90", "calm": "vol < vol90"})
 _masked("b10_against_volatility", {"all": "true", "top score": "s >= s90", "top volatility": "vol >= vol98", "both": "s >= s90 AND vol >= vol98"})
