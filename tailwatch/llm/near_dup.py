@@ -12,8 +12,7 @@ members to one leader, the least node, so that nearly all buckets lie in one com
 first round. In the second, only members outside their bucket's largest component are compared: with
 that component's members, and with each other. This checks every candidate pair that could still
 join two components, so the components are those of the full link graph. Components come from the
-large-star / small-star iteration on distributed edge tables in the shared folder; a table of at most
-``SMALL_EDGES`` edges is joined by one executor task instead, with the same result.
+large-star / small-star iteration on distributed edge tables in the shared folder.
 
 Cases: documents without words or text link with nothing and are kept; rows with a null ``doc_id``
 take no part and are kept; rows with one ``doc_id`` are one document, whose sets are all its own; extra
@@ -28,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -38,8 +37,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 K = BANDS * ROWS
 #: Longs of a packed signature.
 PACKED = K * BITS // 64
-#: Edges up to which one task joins components, in a few MB; more go by rounds over all partitions.
-SMALL_EDGES = 500_000
+#: Edges of a partition while components are joined, and parts of a node's neighbours.
+EDGES, SALTS = 100_000, 64
 #: Bits of the filter that spares texts the shuffle: 1 MB.
 FILTER_BITS = 2**23
 #: Nodes of a component that are compared in one part.
@@ -182,19 +181,27 @@ def _linked(a: str, b: str, percent: int) -> Column:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b), the root being its component's least node."""
+    """(node, root) of every node of ``edges`` (a, b), the root being its component's least node.
+
+    Rounds of large-star and small-star, each over as many partitions as its edges fill. A node's greater
+    neighbours, which may be very many, are dealt over ``SALTS`` parts: each part has its own least, and the least of
+    these comes back to every part. A node has few smaller neighbours, at most one for each band at first.
+    """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = save(edges.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "edges")
     state = _state(now)
-    if state[0] <= SMALL_EDGES:
-        return save(now.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
     while state[0]:
+        n = -(-2 * state[0] // EDGES)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        after = save(small.union(least).distinct(), "edges")
+        both = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition(n, "u", "s")
+        part = both.groupBy("u", "s").agg(F.min("v").alias("m")).repartition(n, "u")
+        least = F.least("u", F.min("m").over(Window.partitionBy("u")))
+        part = part.select("u", "s", least.alias("m")).repartition(n, "u", "s")
+        large = both.where("v > u").join(part.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.repartition(n, "u").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e")
+        pairs = small.select(pairs).select("e.u", F.col("e.m").alias("v")).where("u <> v")
+        after = save(pairs.repartition(n, "u", "v").distinct(), "edges")
         drop(now)
         now, before = after, state
         state = _state(now)
@@ -203,26 +210,6 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.toDF("node", "root").union(now.select("v", "v").distinct())
 
 
-def _joined(batches):
-    """Components of a bounded number of edges, in one task."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root.setdefault(up, up)
-        return x
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            u, v = find(u), find(v)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-    nodes = list(root)
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "root"])
-
-
 def _state(edges: DataFrame) -> tuple:
     """Number and checksum of edges."""
     mark = F.xxhash64("u", "v")

@@ -72,9 +72,16 @@ def brute_components(rows, k, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_components_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(near_dup, "SMALL_EDGES", small)
+def test_chains_stars_and_cycles_are_joined_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "EDGES", 50)
+    pairs = [(i, i + 1) for i in range(100, 190)] + [(7, i) for i in range(300, 420)] + [(1000 + i, 1000 + (i + 1) % 9) for i in range(9)] + [(5, 5), (300, 420)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = dict(map(tuple, near_dup.connected(edges).collect()))
+    want = {i: 100 for i in range(100, 191)} | {i: 7 for i in (7, *range(300, 421))} | {1000 + i: 1000 for i in range(9)}
+    assert got == want and near_dup.connected(edges.limit(0)).count() == 0
+
+
+def test_components_equal_brute_force(spark):
     rows = corpus()
     want = brute_components(rows, 4, 80)
     got = near_dup.components(documents(spark, rows, extra=True), 4, 80).collect()
@@ -96,9 +103,7 @@ def test_a_large_group_of_loose_copies(spark):
     assert got == brute_components(rows, 4, 80) and len(set(got.values())) > 1
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_repeated_ids_join_sets_that_share_no_band(spark, monkeypatch, small):
-    monkeypatch.setattr(near_dup, "SMALL_EDGES", small)
+def test_repeated_ids_join_sets_that_share_no_band(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = [(1, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (3, b, "en", "s")]
     got = {r.doc_id: r.component for r in near_dup.components(documents(spark, rows), 4, 80).collect()}
@@ -161,6 +166,47 @@ def test_fences_adapt_to_their_group(spark):
     assert quality.accepted(docs).columns == docs.columns and quality.accepted(docs.limit(0)).count() == 0
 
 
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(700):
+        lang, source = rng.choice(["en", "fr", None]), rng.choice(["a", "a", "a", "b", f"s{i % 40}", None])
+        w = words(rng, rng.randrange(40, 160), 10**5)
+        for _ in range(rng.choice([0, 0, 0, 5, 60])):
+            w[rng.randrange(len(w))] += rng.choice(["#", "!!", "ABCD", "\n", "\n\n", "longlonglonglongword"])
+        rows.append((i, " ".join(w + w[: rng.choice([0, 0, 0, 20, 90])]), lang, source))
+    rates, failed = {}, {}
+    for i, t, _, _ in rows:
+        n, chars, symbols, dup, again = brute_counts(t)
+        lines = sum(bool(x.strip()) for x in t.split("\n"))
+        per = lambda a, b: a / b if b else 0.0
+        rates[i] = {"symbol_rate": per(symbols, chars), "mark_rate": per(sum(c in "!?" for c in t), chars), "upper_rate": per(sum(c.isupper() for c in t), chars)}
+        rates[i] |= {"dup_line_rate": per(dup, lines), "repeat_rate": per(again, n), "word_length": per(chars, n)}
+        failed[i] = n < 50 or 2 * again > n
+    log = math.log((1 + quality.ERROR) / (1 - quality.ERROR))
+
+    def place(members, rate, q):
+        """Middle of the bucket that holds the quantile's rank."""
+        at = sorted(math.ceil(math.log(x) / log) if x > quality.TINY else -math.inf for x in (rates[i][rate] for i in members))
+        b = at[math.floor(q * (len(at) - 1))]
+        return 0.0 if b == -math.inf else math.exp((b - 0.5) * log)
+
+    def verdict(i, lang, source):
+        good = [r for r in rows if not failed[r[0]]]
+        group = [r[0] for r in good if r[2:] == (lang, source)]
+        if len(group) < quality.LEAST:
+            group = [r[0] for r in good if r[2] == lang]
+        if len(group) < quality.LEAST:
+            group = [r[0] for r in good]
+        fence = {r: (q := place(group, r, 0.8)) + quality.FENCE * max(q - place(group, r, 0.5), s) for r, s in quality.RATES.items()}
+        return not failed[i] and all(rates[i][r] <= fence[r] for r in fence)
+
+    got = {r.doc_id: r.kept for r in quality.judged(documents(spark, rows), ["doc_id"]).collect()}
+    want = {i: verdict(i, lang, source) for i, _, lang, source in rows}
+    assert got == want and 50 < sum(want.values()) < 650
+    assert {r.doc_id for r in quality.accepted(documents(spark, rows, extra=True)).collect()} == {i for i, k in want.items() if k}
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     values = [math.exp(random.Random(i).gauss(0, 1)) for i in range(2000)]
     names = list(quality.RATES)
@@ -391,21 +437,67 @@ def test_base_scores_equal_brute_force_and_the_model_learns(spark):
     assert all(r.score < 0 for r in got)
 
 
+def brute_log10(w, classes, ids):
+    """log10 probability of a document's ids (BOS, pieces, EOS), token by token from the definition."""
+    total, inputs = 0.0, len(ids) - 1
+    for p in range(inputs):  # the place p predicts p + 1
+        begin = 0
+        while p >= begin + lm.WINDOW:
+            begin += lm.WINDOW - lm.OVERLAP
+        x = [w["E"][classes.into[ids[begin + j]]] + w["P"][j] for j in range(p - begin + 1)]
+        q = x[-1] @ w["q"] / math.sqrt(lm.DIM)
+        weight = np.exp([q @ (y @ w["k"]) for y in x])
+        out = sum(a * (y @ w["v"]) for a, y in zip(weight / weight.sum(), x))
+        z = (x[-1] + out @ w["o"]) @ w["c"] + w["b"]
+        chance = np.exp(z) / np.exp(z).sum()
+        total += math.log10(chance[classes.out[ids[p + 1]]]) + classes.within[ids[p + 1]]
+    return total
+
+
 @needs_model
-def test_every_training_document_is_fitted_on(spark, monkeypatch):
-    seen = []
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """Of whole documents, with weights that make the context count; the fit sees every training token once."""
+    seen, rng = [], np.random.default_rng(5)
 
     def fitted(data, weights, cut):
-        seen.extend(np.frombuffer(r.w, np.int16).reshape(-1, 3 * lm.WINDOW + 1) for r in data.mapInArrow(cut, "w binary").collect())
-        return weights
+        seen.extend(sum(int(live.sum()) for _, _, live in cut(b.to_batches())) for b in [data.toArrow()])
+        w = lm.unpacked(weights)
+        seen.append({k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in w.items()})
+        return lm.packed(seen[-1])
 
     monkeypatch.setattr(lm, "fitted", fitted)
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    rows = [(i, "the nation and other stations " * (i % 20), "en", "s") for i in range(100)]
-    lm.scored(documents(spark, rows)).collect()
-    live = sum(int(w[:, 2 * lm.WINDOW : 3 * lm.WINDOW].sum()) for w in seen)
-    ids, _ = pieces.codec().encode_packed([t.rstrip() for i, t, *_ in rows if not held(i)])
-    assert live == len(ids) + sum(not held(i) for i, *_ in rows)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice(["The", "nation", "and", "other", "stations", "zxqv", "é"]) for _ in range(draw.choice([0, 1, 7, 31, 32, 33, 120]))), "en", "s") for i in range(60)]
+    rows += [(100, None, "en", "s"), (None, "the nation", None, None), (7, rows[7][1], "en", "s")]
+    codec = pieces.codec()
+    ids = lambda t: [lm.BOS, *(i for word in codec.encode((t or "").lower().split()) for i in word), lm.EOS]
+    got = sorted((str(r.doc_id), round(r.score, 2)) for r in lm.scored(documents(spark, rows)).collect())
+    counts = Counter(i for d, t, *_ in rows if not held(d) for i in ids(t)[1:])
+    assert seen[0] == sum(counts.values())
+    classes = lm.Classes(np.array([counts[i] for i in range(len(codec.model.pieces))], float), codec.marked)
+    want = sorted((str(d), round(brute_log10(seen[1], classes, ids(t)), 2)) for d, t, *_ in rows)
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=0.03)
+
+
+@needs_model
+def test_chunks_of_any_size_give_the_same_rows(spark, monkeypatch):
+    rows = [(i, f"the nation {i % 7} " * (i % 9), "en", "s") for i in range(90)]
+    base = lambda: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.scored(documents(spark, rows)).collect())
+    whole = base()
+    monkeypatch.setattr(lm, "_chunked", _small_chunks(lm._chunked))
+    assert base() == whole and lm.scored(documents(spark, rows).limit(0)).count() == 0
+
+
+def _small_chunks(chunked):
+    """The chunk pass fed a few rows at a time, a chunk each."""
+    def run(batches):
+        lm.CHUNK_DOCS = 1
+        for b in batches:
+            yield from chunked(b.slice(i, 4) for i in range(0, b.num_rows, 4))
+            return
+
+    return run
 
 
 @needs_model
@@ -423,19 +515,21 @@ def model(seed=0, n=500):
 def test_every_token_is_scored_once():
     sizes = [2, 3, 29, 30, 31, 58, 100]
     offsets = np.cumsum([0, *sizes])
-    at, pad, live, doc = lm.windows(np.zeros(offsets[-1], int), offsets)
-    seen = Counter(at[live].tolist())
-    assert seen == Counter({p: 1 for a, b in zip(offsets[:-1], offsets[1:]) for p in range(a, b - 1)})
+    for overlap in (0, lm.OVERLAP):
+        first, lo, hi, doc = lm.windows(offsets, overlap)
+        seen = Counter(p for f, a, b in zip(first, lo, hi) for p in range(f + a, f + b))
+        assert seen == Counter({p: 1 for a, b in zip(offsets[:-1], offsets[1:]) for p in range(a, b - 1)})
+        assert all(offsets[d] <= f for f, d in zip(first, doc))
 
 
 def test_probabilities_sum_to_one_and_see_no_future():
     classes, rng = model()
     w = lm.fresh(classes.prior)
     x = rng.integers(0, lm.SINGLE, (1, lm.WINDOW))
-    a = lm.forward(w, x, np.zeros(1))["h"]
+    a = lm.forward(w, x)["h"]
     y = x.copy()
     y[0, 20:] = 3
-    assert np.allclose(lm.forward(w, y, np.zeros(1))["h"][:20], a[:20], atol=1e-5)
+    assert np.allclose(lm.forward(w, y)["h"][:20], a[:20], atol=1e-5)
     assert np.allclose(np.exp(lm.log_classes(w, a)).sum(1), 1, atol=1e-4)
     per = np.bincount(classes.out, weights=10.0 ** classes.within, minlength=lm.CLASSES)
     assert np.allclose(per, 1, atol=1e-3)
@@ -445,14 +539,14 @@ def test_gradients_equal_differences():
     classes, rng = model()
     w = {k: v.astype(np.float64) for k, v in lm.fresh(classes.prior).items()}
     x, t = rng.integers(0, lm.SINGLE, (2, lm.WINDOW)), rng.integers(0, lm.CLASSES, (2, lm.WINDOW))
-    pad, live = np.array([lm.OVERLAP, 0]), np.ones((2, lm.WINDOW), bool)
+    live = np.ones((2, lm.WINDOW), bool)
     live[:, : lm.OVERLAP] = False
 
     def loss():
-        z = lm.log_classes(w, lm.forward(w, x, pad)["h"])
+        z = lm.log_classes(w, lm.forward(w, x)["h"])
         return -(z[np.arange(len(z)), t.ravel()] * live.ravel()).sum() / live.sum()
 
-    g = lm.gradients(w, x, pad, t, live)
+    g = lm.gradients(w, x, t, live)
     for name in w:
         at = (int(x[0, 7]), 1) if name == "E" else (5, 1) if name == "P" else (0,) * w[name].ndim
         old = w[name][at]
@@ -471,18 +565,26 @@ def test_fitting_lowers_held_out_loss(spark):
     for i in range(1, len(tokens)):  # mostly a fixed successor
         tokens[i] = step[tokens[i - 1]] if rng.random() < 0.8 else rng.integers(0, 500)
     offsets = np.arange(0, 40001, 200)
-    at, pad, live, _ = lm.windows(tokens, offsets)
-    data = np.concatenate([classes.into[tokens][at], classes.out[tokens][at + 1], live.astype(np.int16), pad[:, None].astype(np.int16)], axis=1)
-    first = lm.packed(lm.fresh(classes.prior))
-    cut = len(data) * 3 // 4
-    weights = lm.fitted(spark.createDataFrame([(bytearray(r.tobytes()),) for r in data[:cut]], "w binary"), first)
+    first, _, hi, _ = lm.windows(offsets)
+    first, cut = first[hi == lm.WINDOW], 900
+    x, y = (lm._cut(v, first + i).astype(np.int16) for i, v in ((0, classes.into[tokens]), (1, classes.out[tokens])))
+    start = lm.packed(lm.fresh(classes.prior))
+
+    def of_bytes(batches):
+        for b in batches:
+            d = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, 2, lm.WINDOW)
+            yield d[:, 0], d[:, 1], np.ones((len(d), lm.WINDOW), bool)
+
+    data = spark.createDataFrame([(bytearray(np.stack([x[i : i + 4], y[i : i + 4]], 1).tobytes()),) for i in range(0, cut, 4)], "w binary")
+    small = data.repartition(2)
+    lm.small_batches(spark, 2)
+    weights = lm.fitted(small, start, of_bytes)
 
     def held(w):
-        z = lm.log_classes(w, lm.forward(w, data[cut:, : lm.WINDOW], data[cut:, -1])["h"])
-        on = data[cut:, 2 * lm.WINDOW : 3 * lm.WINDOW].ravel() > 0
-        return -z[np.arange(len(z)), data[cut:, lm.WINDOW : 2 * lm.WINDOW].ravel()][on].mean()
+        z = lm.log_classes(w, lm.forward(w, x[cut:])["h"])
+        return -z[np.arange(len(z)), y[cut:].ravel()].mean()
 
-    assert held(lm.unpacked(weights)) < held(lm.unpacked(first)) - 0.1
+    assert held(lm.unpacked(weights)) < held(lm.unpacked(start)) - 0.1
 
 
 # mixing
