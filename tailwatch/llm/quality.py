@@ -84,27 +84,37 @@ def counts(text: bytes | None) -> tuple[int, ...]:
     return (len(words), chars, int(kinds[4]), len(lines) - len(set(lines)), repeated_words(words), len(lines), int(kinds[8]), int(kinds[16]))
 
 
-def _measured(batches):
-    for b in batches:
-        rows = [counts(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
-        cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS)
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *cols], [*b.schema.names[1:], *COUNTS])
-
-
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns with COUNTS and RATES."""
-    small_batches(docs.sparkSession)
-    kept = docs.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{c} long" for c in COUNTS)])
-    out = docs.select(F.col("text").alias("_text"), *keep).mapInArrow(_measured, schema)
+def _measured(at: int, drop: bool):
+    """Rows with COUNTS of the text in column ``at``, and without that column if ``drop``."""
+    def run(batches):
+        for b in batches:
+            rows = [counts(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS)
+            kept = [i for i in range(b.num_columns) if i != at or not drop]
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), *cols], [*(b.schema.names[i] for i in kept), *COUNTS])
+
+    return run
+
+
+def _with_rates(rows: DataFrame, at: int, drop: bool) -> DataFrame:
+    small_batches(rows.sparkSession)
+    kept = [f for i, f in enumerate(rows.schema) if i != at or not drop]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in COUNTS)])
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return (
-        out.withColumn("symbol_rate", per("n_symbols", "word_chars")).withColumn("mark_rate", per("n_marks", "word_chars"))
+        rows.mapInArrow(_measured(at, drop), schema)
+        .withColumn("symbol_rate", per("n_symbols", "word_chars")).withColumn("mark_rate", per("n_marks", "word_chars"))
         .withColumn("upper_rate", per("n_upper", "word_chars")).withColumn("dup_line_rate", per("n_dup_lines", "n_lines"))
         .withColumn("repeat_rate", per("n_repeat_words", "n_words")).withColumn("word_length", per("word_chars", "n_words"))
+        .withColumn("base_failed", base_failed())
     )
 
 
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns with COUNTS, RATES and base_failed."""
+    return _with_rates(docs.select(F.col("text").alias("_text"), *keep), 0, True)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -140,24 +150,39 @@ def fences(parts: DataFrame) -> DataFrame:
     return out.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("rate", "fence"))).alias("fences"))
 
 
-def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns with COUNTS, RATES, base_failed and kept."""
-    rows = save(measured(docs, list(dict.fromkeys([*keep, "lang", "source"]))).withColumn("base_failed", base_failed()), "quality")
-    limits = save(fences(sketches(rows.where(~F.col("base_failed")))), "fences")
-    own, lang, every = (limits.where((F.col("level") == i) & ((F.col("docs") >= LEAST) if i < 2 else F.lit(True))).alias(f"l{i}") for i in range(3))
+def _limits(rows: DataFrame) -> DataFrame:
+    return save(fences(sketches(rows.where(~F.col("base_failed")))), "fences")
+
+
+def _with_verdict(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``rows`` with kept, by the fences of each row's group."""
+    own, of_lang, every = (limits.where((F.col("level") == i) & ((F.col("docs") >= LEAST) if i < 2 else F.lit(True))).alias(f"l{i}") for i in range(3))
     rows = rows.alias("r")
-    rows = rows.join(own, F.col("r.lang").eqNullSafe(F.col("l0.lang")) & F.col("r.source").eqNullSafe(F.col("l0.source")), "left")
-    rows = rows.join(lang, F.col("r.lang").eqNullSafe(F.col("l1.lang")), "left")
+    rows = rows.join(own, F.col(f"r.{lang}").eqNullSafe(F.col("l0.lang")) & F.col(f"r.{source}").eqNullSafe(F.col("l0.source")), "left")
+    rows = rows.join(of_lang, F.col(f"r.{lang}").eqNullSafe(F.col("l1.lang")), "left")
     rows = rows.join(every, F.col("l2.level") == F.lit(2), "left")
     fence = F.coalesce("l0.fences", "l1.fences", "l2.fences")
     beyond = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"r.{r}") > fence[r], F.lit(False)) for r in RATES])
     return rows.select("r.*", (~F.col("r.base_failed") & ~beyond).alias("kept"))
 
 
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns with COUNTS, RATES, base_failed and kept."""
+    rows = save(measured(docs, list(dict.fromkeys([*keep, "lang", "source"]))), "quality")
+    return _with_verdict(rows, _limits(rows))
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows; its columns are carried as one, so none can clash."""
-    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
-    return judged(rows, ["_row"]).where("kept").select("_row.*")
+    """``docs`` without the rejected rows.
+
+    Every text is measured twice, once for the fences and once beside its row, so that no text is written
+    or shuffled on the way. Columns go by their place, so names can't clash.
+    """
+    limits = _limits(save(measured(docs.select("text", "lang", "source"), ["lang", "source"]), "quality"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    lang, source, text = (docs.columns.index(c) for c in ("lang", "source", "text"))
+    rows = _with_verdict(_with_rates(docs.toDF(*names), text, False), limits, names[lang], names[source])
+    return rows.where("kept").select(*names).toDF(*docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
