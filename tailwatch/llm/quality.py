@@ -151,7 +151,8 @@ def fences(parts: DataFrame) -> DataFrame:
 
 
 def _limits(rows: DataFrame) -> DataFrame:
-    return save(fences(sketches(rows.where(~F.col("base_failed")))), "fences")
+    """The fences, by way of the written sketches: a few rows a group, whatever the size of the corpus."""
+    return save(fences(save(sketches(rows.where(~F.col("base_failed"))), "sketches")), "fences")
 
 
 def _with_verdict(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -178,7 +179,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     Every text is measured twice, once for the fences and once beside its row, so that no text is written
     or shuffled on the way. Columns go by their place, so names can't clash.
     """
-    limits = _limits(save(measured(docs.select("text", "lang", "source"), ["lang", "source"]), "quality"))
+    limits = _limits(measured(docs.select("text", "lang", "source"), ["lang", "source"]))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     lang, source, text = (docs.columns.index(c) for c in ("lang", "source", "text"))
     rows = _with_verdict(_with_rates(docs.toDF(*names), text, False), limits, names[lang], names[source])
