@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two second-order models (a character given the two before it) are trained from labelled samples, one on random strings and
-one on ordinary identifiers. A candidate is a run of ``CANDIDATE`` characters of mixed kinds that overlaps no
-pattern's span; it is a secret if its log-likelihood ratio, per character, exceeds ``MARGIN``.
+one on ordinary identifiers. A candidate is a stretch of ``LEAST`` or more ``CANDIDATE`` characters between the
+patterns' spans; it is a secret if its log-likelihood ratio, per character, exceeds a margin: ``MARGIN`` for mixed kinds of
+characters, and more for letters of one case, as prose is, the more the shorter it is (:func:`margin`). A stretch
+without any letter is a number or a rule and no secret. All steps are linear in the text's length.
 
 The samples are made from fixed word parts and a seeded generator (``samples``), so the models are
 the same on every executor; :func:`train` takes any other labelled samples.
@@ -15,8 +17,11 @@ a null doc_id is an ordinary value; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,11 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 #: With each pattern, strings of which a lower-cased text that matches has at least one.
 PATTERNS = ((ASSIGN, 2, 6, (b"passw", b"secret", b"token", b"api")), (ACCESS, 0, 20, (b"akia",)))
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate mixes letters with digits, or capitals into small letters: prose in one case is none.
-MIXED = re.compile(rb"(?=.*[A-Za-z])(?=.*[0-9])|.+[A-Z].*[a-z]|[a-z].*[A-Z]")
-#: Natural-log ratio per character above which a candidate is a secret.
-MARGIN = 1.0
+LEAST = 16
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: Natural-log ratio per character above which a candidate of mixed kinds is a secret, and for one of a single case the
+#: part of its margin that stays and the part that shrinks with the root of the length.
+MARGIN, PLAIN = 1.0, (1.0, 6.4)
 #: Parts of ordinary identifiers, in English, French, German and Spanish.
 PARTS = (
     "the and that with from this have which their other about after before between under over "
@@ -126,14 +131,37 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def margin(candidate: bytes) -> float:
+    """What the ratio must exceed. One case of letters alone, but for a capital in front, is judged like prose."""
+    c = _CLASS[np.frombuffer(candidate, np.uint8)]
+    up, low, digit = c < 26, (c >= 26) & (c < 52), (c >= 52) & (c < 62)
+    if not up.any() and not low.any():
+        return math.inf
+    if digit.any() or low.any() and up[1:].any():
+        return MARGIN
+    return PLAIN[0] + PLAIN[1] / math.sqrt(len(candidate))
+
+
+def between(lo: int, hi: int, covered: list[tuple[int, int, int]]):
+    """The parts of lo..hi that lie in none of the ``covered`` spans, which are in order of their starts."""
+    for a, b, _ in covered:
+        if a > lo:
+            yield lo, min(a, hi)
+        lo = max(lo, b)
+        if lo >= hi:
+            return
+    yield lo, hi
+
+
 def markov_spans(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
+    ends = list(accumulate((e for _, e, _ in base), max))  # so that a later span never ends before an earlier one
+    starts = [s for s, _, _ in base]
     for m in CANDIDATE.finditer(text):
-        lo, hi = m.span()
-        if any(s < hi and lo < e for s, e, _ in base):
-            continue
-        if MIXED.match(m.group()) and ratio(m.group()) > MARGIN:
-            out.append((lo, hi, 3))
+        at, last = bisect_right(ends, m.start()), bisect_left(starts, m.end())
+        for lo, hi in between(*m.span(), base[at:last]):
+            if hi - lo >= LEAST and ratio(text[lo:hi]) > margin(text[lo:hi]):
+                out.append((lo, hi, 3))
     return out
 
 

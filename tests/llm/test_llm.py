@@ -238,6 +238,91 @@ def test_models_separate_held_out_samples():
     assert [text[a:b] for a, b, _ in secrets.scan(text)[1]] == [b"aGVsbG8gd29ybGQ0NTY3ODkwMTIz+Qx7"]
 
 
+def brute_spans(text):
+    """kind:start:end of a text by the definitions, character by character, with models of plain counts."""
+    if not brute_spans.counts:
+        for label in (1, 0):
+            one, two = Counter(), Counter()
+            for t, y in secrets.samples():
+                if y == label:
+                    one.update(zip(t, t[1:]))
+                    two.update(zip(t, t[1:], t[2:]))
+            before, pairs = Counter(), Counter()
+            for (a, _), n in one.items():
+                before[a] += n
+            for (a, b, _), n in two.items():
+                pairs[a, b] += n
+            brute_spans.counts.append((one, two, before, pairs))
+    kinds = len(secrets.ALPHABET) + 1
+
+    def log(model, a, b, c):
+        one, two, before, pairs = model
+        first = (one[b, c] + 5 / kinds) / (before[b] + 5)
+        return math.log((two[a, b, c] + 10 * first) / (pairs[a, b] + 10))
+
+    found = []
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for kind, pattern, group, least in (("assign", assign, 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)):
+        found += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    free = [not any(a <= i < b for a, b, _ in found) and c in secrets.ALPHABET for i, c in enumerate(text)] + [False]
+    begin = 0
+    for i, ok in enumerate(free):
+        run = text[begin:i]
+        # a stretch that a pattern cuts counts only within a run of candidate characters, which it always is
+        if ok:
+            continue
+        whole = re.search(r"[A-Za-z0-9+/_=-]*$", text[:begin])[0] + run + re.match(r"[A-Za-z0-9+/_=-]*", text[i:])[0]
+        if len(run) >= 16 and len(whole) >= 16 and re.search("[A-Za-z]", run):
+            score = sum(log(brute_spans.counts[0], *x) - log(brute_spans.counts[1], *x) for x in zip(run, run[1:], run[2:])) / (len(run) - 2)
+            mixed = re.search("[0-9]", run) or re.search("[a-z]", run) and re.search("[A-Z]", run[1:])
+            if score > (1.0 if mixed else 1.0 + 6.4 / math.sqrt(len(run))):
+                found.append((begin, i, "markov"))
+        begin = i + 1
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda s: (s[0], secrets.KINDS.index(s[2]))))
+
+
+brute_spans.counts = []
+
+
+def test_spans_equal_brute_force(spark):
+    rng, rows = random.Random(21), []
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 14)):
+            n = rng.randrange(4, 40)
+            parts.append(rng.choice([
+                draw(low, n), draw(up, n), draw(low + up + dig, n), draw("0123456789abcdef", n), "AKIA" + draw(up + dig, n), draw(dig + "-=", n), "representationofinformation", "INTERNATIONALIZATION", "getUserAccountNumber", "é", "\n",
+                rng.choice(["password", "Token", "API_KEY", "secret"]) + rng.choice(["=", " : ", "='"]) + draw(low + dig + "./+", n),
+            ]))
+        rows.append((i, rng.choice([" ", "", "/", "+"]).join(parts), "en", "s"))
+    got = {r.doc_id: r.spans for r in secrets.scanned(documents(spark, rows, extra=True)).collect()}
+    assert got == {i: brute_spans(t) for i, t, *_ in rows}
+    kinds = Counter(k.split(":")[0] for v in got.values() for k in v.split(",") if k)
+    assert min(kinds[k] for k in secrets.KINDS) > 20
+
+
+def test_random_letters_of_one_case_are_found_and_prose_is_not():
+    rng = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        found = [secrets.scan("".join(rng.choice(letters) for _ in range(n)).encode())[1] for n in (20, 32, 64) for _ in range(100)]
+        assert np.mean([bool(x) for x in found]) > 0.85
+    text = b"kqzxvjwpqlmxzrtyghbn XQZJKWVPTRLMNBHGFDSA internationalization REPRESENTATIVENESS Unbeschreiblichkeiten responsabilidades 1234567890123456 ----------------"
+    assert [text[a:b] for a, b, _ in secrets.scan(text)[1]] == [b"kqzxvjwpqlmxzrtyghbn", b"XQZJKWVPTRLMNBHGFDSA"]
+    text = b"token=abc123.defghi+Zq8vK2xR9mT4wB7nL1pY"  # beside a pattern's span
+    assert secrets.scan(b"0123456789abcdef0123456789abcdef" + b"+Zq8vK2xR9mT4wB7nL1pY")[1] == [(0, 32, 2), (32, 53, 3)] and len(secrets.scan(text)[1]) == 1
+
+
+def test_very_long_runs_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for run in (b"A" * 2_000_000, b"Ab" * 1_000_000, b"token " * 300_000, b"0a" * 1_000_000, b"token=abcdefg " * 150_000):
+        secrets.scan(run)
+    assert time.process_time() - began < 30
+
+
 def test_scanning_and_redacting_tables(spark):
     rows = [(1, "é token=abcdef1 end", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (1, "é token=abcdef1 end", "en", "s"), (None, "clean words only", "en", "s")]
     docs = documents(spark, rows, extra=True)
