@@ -713,16 +713,48 @@ def test_permutation_and_shards(spark):
     for n in (1, 2, 7, 100, 1001):
         out = [r[0] for r in spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), 5, F.lit(3))).collect()]
         assert sorted(out) == list(range(n)) and (n < 100 or out != sorted(out))
-    docs = documents(spark, [(i, "w " * 640, "en", f"s{i % 4}") for i in range(200)])
+
+
+def test_shard_draws_decide_what_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 100)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    docs = documents(spark, [(i, "w " * 640, "en", f"s{i % 7}") for i in range(200)])
     _, sources, slots = mixing.mix(docs)
-    assert sorted(r.slot for r in slots.collect()) == list(range(sources.first().all_slots))
-    assert mixing.shard_counts(slots).agg(F.sum("count")).first()[0] == sources.first().all_slots
+    sources = {r["rank"]: r for r in sources.collect()}
+    (a, b, c), (d, _, _) = mixing._constants(1, mixing.SEED + 11), mixing._constants(2, mixing.SEED + 11)
+    some, want = sources[0], Counter()
+    for shard in range(some.shards):
+        for rank, r in sources.items():
+            want[shard, rank] += r.sure
+        for i in range(math.floor(some.parts / mixing.UNIT + 0.5)):
+            y = (((shard * 4099 + i) % mixing.PRIME) * a + b) % mixing.PRIME
+            u = (y * y % mixing.PRIME * c + d) % mixing.PRIME % some.parts
+            want[shard, next(k for k, r in sources.items() if r.part_end - r.part <= u < r.part_end)] += 1
+    got = {(r.shard, r["rank"]): r.c for r in mixing.shard_counts(spark.createDataFrame(list(sources.values()))).collect()}
+    assert got == dict(want) and some.shards > 10
+    assert all(len({want[s, k] for s in range(some.shards)}) > 1 for k, r in sources.items() if 0.1 < r.part / mixing.UNIT < 0.9)
+    slots = slots.collect()
+    per = Counter((r.shard, r["rank"]) for r in slots)
+    for k, r in sources.items():  # numbered on through the shards, up to REPEAT uses of each block
+        total = sum(want[s, k] for s in range(some.shards))
+        places = sorted((x.k, x.shard) for x in slots if x["rank"] == k)
+        assert [x for x, _ in places] == list(range(min(total, r.most))) and [x for _, x in places] == sorted(x for _, x in places)
+        assert total > r.most or all(per[s, k] == want[s, k] for s in range(some.shards))
+        assert max(Counter(x.block for x in slots if x["rank"] == k).values()) <= mixing.REPEAT
+        assert abs(min(total, r.most) - r.target * r.n_blocks / r.source_size) < 4 * math.sqrt(some.shards)
+
+
+def test_prefix_sums_of_a_key_with_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 10)
+    rows = [(s, i * 3, i % 5) for s in ("a", None) for i in range(100)] + [("b", 7, 1)]
+    got = mixing.prefix_sum(spark.createDataFrame(rows, "s string, n long, v long"), ["s"], "n", "v", "sum").collect()
+    assert sorted(map(str, got)) == sorted(str(type(r)(**r.asDict() | {"sum": sum(v for s, n, v in rows if s == r.s and n < r.n)})) for r in got) and len(got) == len(rows)
 
 
 def test_mixed_documents_hold_the_taken_words(spark):
     rng = random.Random(14)
     rows = [(i, " ".join(words(rng, rng.randrange(1, 300))), "en", rng.choice("abc")) for i in range(80)] + [(90, None, "en", "a"), (91, "one\n two", "en", "b"), (91, "one\n two", "en", "b")]
-    docs = documents(spark, rows, extra=True)
+    docs = documents(spark, rows, extra=True).withColumn("_0", F.lit("x")).withColumn("size", F.lit(1)).withColumn("hash", F.lit(2))
     want = Counter()
     for r in mixing.taken(docs).collect():
         want[r.doc_id] += r.taken
