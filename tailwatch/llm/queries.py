@@ -17,7 +17,6 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
-    "op1_token_counts": token_counts.oracle(),
     "op6_topk": topk.oracle(),
     "op3_warc": warc.oracle(),
     "op9_chat": chat.oracle(),

@@ -2,11 +2,14 @@
 
 A change row says what happened to a document: ``insert`` and ``delete`` carry its count, ``revise``
 its old and its new one. Each row becomes signed amounts of documents and tokens; a batch is the sum
-of its amounts by source, language and tokenizer version. A batch is one folder of the store, written
-by Spark's committer and complete with its ``_SUCCESS`` file: committing a batch id again does
-nothing, and what a failed attempt left is overwritten. Totals are sums over the batches, so they
-do not depend on the order of commits. :meth:`Rollup.compact` folds complete batches into one and keeps their
-ids, so they stay committed.
+of its amounts by source, language and tokenizer version. Counts come from published tokenizers (:func:`counted`).
+
+A batch is written as an attempt, complete with Spark's ``_SUCCESS``, and published by a marker file that only one
+writer can create and that names the attempt: committing a batch id again does nothing, of two writers of one id one
+wins, and what a failed attempt left is never read. Totals are sums over the batches, so they do not depend on the
+order of commits. :meth:`Rollup.compact` folds the newest fold and all published batches into a new fold with their ids;
+readers take the newest complete fold alone, and batches that it does not hold, so a crash at any step neither loses nor
+doubles a count. One process compacts at a time.
 
 Cases: null counts are 0; null source, language and version are groups of their own; a revision that
 moves a document to another group is a delete and an insert; equal change rows count each; an
@@ -17,19 +20,49 @@ ignored. A hot source is summed map-side before the shuffle.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_words, read, save, scratch_path
+from . import pieces
+from .common import read, save, scratch_path, small_batches
 
 KEYS = ("source", "lang", "version")
-#: A second tokenizer version: runs of letters and digits, and every other visible character alone.
-PARTS = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
-#: Counters by tokenizer version, inside the JVM.
-COUNTERS = {
-    "words-1": n_words,
-    "parts-1": lambda text: F.coalesce(F.regexp_count(text, F.lit(PARTS)), F.lit(0)).cast("long"),
-}
+
+
+def word_counts(texts: list[str], path: str) -> np.ndarray:
+    return np.array([len(t.encode().split()) for t in texts], np.int64)
+
+
+def piece_counts(texts: list[str], path: str) -> np.ndarray:
+    return np.diff(pieces.codec(path).encode_packed(texts)[1])
+
+
+#: Counters by tokenizer version, over whole texts: words between ASCII white space, and a published subword model.
+COUNTERS = {"words-1": word_counts, "pieces-32k": piece_counts}
+
+
+def counted(docs: DataFrame, texts: list[str], keep: list[str], path: str = pieces.MODEL) -> DataFrame:
+    """``keep`` columns, and for each column of ``texts`` its counts (array) by the versions of COUNTERS; null for null."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in range(len(texts)):
+                column = b.column(i).to_pylist()
+                per = np.stack([f([t or "" for t in column], path) for f in COUNTERS.values()], axis=1).tolist() if column else []
+                out.append(pa.array([None if t is None else n for t, n in zip(column, per)], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(texts), b.num_columns)), *out], names)
+
+    small_batches(docs.sparkSession, 256)
+    kept = docs.select(*keep)
+    counts = [f"n_{t}" for t in texts]
+    names = [*kept.columns, *counts]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{c} array<bigint>" for c in counts)])
+    return docs.select(*(F.col(t).alias(f"_t{i}") for i, t in enumerate(texts)), *keep).mapInArrow(run, schema)
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -54,90 +87,117 @@ class Rollup:
         self._at = jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _folders(self) -> dict[str, list[str]]:
-        """Complete folders, each with the batch ids it holds; a folded one hides those it replaces."""
-        root, found = self._at(self.path), {}
-        if self._fs.exists(root):
-            for s in self._fs.listStatus(root):
-                name = s.getPath().getName()
-                if self._fs.exists(self._at(f"{self.path}/{name}/_SUCCESS")):
-                    found[name] = self._ids(name)
-        whole = {b for name, ids in found.items() if name.startswith("folded=") for b in ids}
-        return {n: ids for n, ids in found.items() if n.startswith("folded=") or not set(ids) <= whole}
-
-    def _ids(self, name: str) -> list[str]:
-        if name.startswith("batch="):
-            return [name.removeprefix("batch=")]
-        return [r[0] for r in self.spark.read.parquet(f"{self.path}/{name}/ids").collect()]
-
-    def committed(self) -> set[str]:
-        return {b for ids in self._folders().values() for b in ids}
+    def _names(self, path: str) -> list[str]:
+        at = self._at(path)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _published(self, batch: str) -> str | None:
+        """The attempt that counts for a batch, if one was published."""
+        at = self._at(f"{self.path}/batch={batch}/_published")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") or None
+        finally:
+            stream.close()
+
+    def _state(self) -> tuple[str | None, dict[str, str]]:
+        """The newest complete fold, and the published batches outside it with their attempts."""
+        names = self._names(self.path)
+        folds = [n for n in names if n.startswith("folded=") and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS"))]
+        batches = {b: a for n in names if n.startswith("batch=") and (a := self._published(b := n.removeprefix("batch=")))}
+        fold = folds[-1] if folds else None
+        if fold and batches:  # what a crash left beside its fold
+            for r in self._ids(fold).where(F.col("id").isin(list(batches))).collect():
+                del batches[r.id]
+        return fold, batches
+
+    def _ids(self, fold: str) -> DataFrame:
+        return self.spark.read.schema("id string").parquet(f"{self.path}/{fold}/ids")
+
+    def committed(self, batch: str) -> bool:
+        fold, batches = self._state()
+        return batch in batches or fold is not None and not self._ids(fold).where(F.col("id") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch; False if it was committed before."""
+        """Add a batch; False if it was committed before, or by another writer meanwhile."""
         if not batch or any(c in batch for c in "/=:"):
             raise ValueError("a batch id is a file name without '=' and ':'")
-        if batch in self.committed():
+        if self.committed(batch):
             return False
-        _summed(signed(changes)).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
-
-    def _rows(self, folders: dict) -> DataFrame:
+        attempt = uuid.uuid4().hex
+        _summed(signed(changes)).write.parquet(f"{self.path}/batch={batch}/attempt={attempt}")
+        return self._publish(batch, attempt)
+
+    def _publish(self, batch: str, attempt: str) -> bool:
+        at = self._at(f"{self.path}/batch={batch}/_published")
+        if self._fs.exists(at) and self._published(batch) is None:  # its writer died before naming an attempt
+            self._fs.delete(at, False)
+        try:
+            stream = self._fs.create(at, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()).lower():
+                return False
+            raise
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
+        return self._published(batch) == attempt
+
+    def _rows(self, fold: str | None, batches: dict[str, str]) -> DataFrame:
         schema = "source string, lang string, version string, docs long, tokens long"
-        paths = [f"{self.path}/{n}" + ("/rows" if n.startswith("folded=") else "") for n in folders]
+        paths = [f"{self.path}/{fold}/rows"] * bool(fold) + [f"{self.path}/batch={b}/attempt={a}" for b, a in batches.items()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens)."""
-        return _summed(self._rows(self._folders())).where("docs <> 0 OR tokens <> 0")
+        return _summed(self._rows(*self._state())).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all complete batches into one folder, then remove them."""
-        folders = self._folders()
-        if len(folders) < 2:
+        """Fold the newest fold and all published batches into one, then remove them."""
+        fold, batches = self._state()
+        if len(batches) + bool(fold) < 2:
             return
-        ids = sorted(b for x in folders.values() for b in x)
-        name = f"folded={max((int(n.removeprefix('folded=')) for n in folders if n.startswith('folded=')), default=0) + 1:08d}"
-        _summed(self._rows(folders)).write.mode("overwrite").parquet(f"{self.path}/{name}/rows")
-        self.spark.createDataFrame([(b,) for b in ids], "id string").write.mode("overwrite").parquet(f"{self.path}/{name}/ids")
+        name = f"folded={int(fold.removeprefix('folded=')) + 1 if fold else 1:08d}"
+        self._fs.delete(self._at(f"{self.path}/{name}"), True)  # incomplete, if there
+        _summed(self._rows(fold, batches)).write.parquet(f"{self.path}/{name}/rows")
+        ids = self.spark.createDataFrame([(b,) for b in batches], "id string")
+        (self._ids(fold).union(ids) if fold else ids).write.parquet(f"{self.path}/{name}/ids")
         self._fs.create(self._at(f"{self.path}/{name}/_SUCCESS")).close()
-        for old in folders:
-            self._fs.delete(self._at(f"{self.path}/{old}"), True)
+        self._remove_folded()
 
+    def _remove_folded(self) -> None:
+        """Delete what the newest fold holds."""
+        fold, batches = self._state()
+        for name in self._names(self.path):
+            if name.startswith("folded=") and fold and name < fold or name.startswith("batch=") and name.removeprefix("batch=") not in batches and self._published(name.removeprefix("batch=")):
+                self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
-def _long(rows: DataFrame, kind: str, new: Column, old: Column) -> DataFrame:
-    """One change per tokenizer version, from maps of counts by version."""
-    pairs = F.explode(F.array(*[F.lit(v) for v in COUNTERS])).alias("version")
-    rows = rows.select("source", "lang", new.alias("_new"), old.alias("_old"), pairs)
-    return rows.select("source", "lang", "version", F.lit(kind).alias("kind"), F.col("_new")[F.col("version")].alias("n_tokens"), F.col("_old")[F.col("version")].alias("old_tokens"))
+
+def changes_of(rows: DataFrame, kind: str, new: Column, old: Column) -> DataFrame:
+    """One change per tokenizer version, from arrays of counts by version."""
+    versions = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(i).alias("i")) for i, v in enumerate(COUNTERS)])).alias("v")
+    rows = rows.select("source", "lang", new.alias("_new"), old.alias("_old"), versions)
+    of = lambda c: F.get(F.col(c), F.col("v.i"))
+    return rows.select("source", "lang", "v.version", F.lit(kind).alias("kind"), of("_new").alias("n_tokens"), of("_old").alias("old_tokens"))
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents, each sent twice: all are inserted under both
     tokenizer versions; those with an id of remainder 3 by 10 lose their last line and are revised;
-    those of remainder 7 are deleted."""
-    edited = F.regexp_replace("text", r"\n[^\n]*$", "")
-    count = lambda text: F.map_from_entries(F.array(*[F.struct(F.lit(v).alias("k"), f(text).alias("v")) for v, f in COUNTERS.items()]))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", count(F.col("text")).alias("n"), F.when(F.col("doc_id") % 10 == 3, count(edited)).alias("m"))
-    rows = save(rows, "counts")
-    none = F.lit(None).cast("map<string,bigint>")
+    those of remainder 7 are deleted. Between the second and the third, the store is compacted."""
+    edited = F.when(F.col("doc_id") % 10 == 3, F.regexp_replace("text", r"\n[^\n]*$", ""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", edited.alias("edited"))
+    rows = save(counted(docs, ["text", "edited"], ["doc_id", "source", "lang"]), "counts")
+    none = F.lit(None).cast("array<bigint>")
     store = Rollup(spark, scratch_path(spark, "rollup"))
     for batch, changes in (
-        ("0001", _long(rows, "insert", F.col("n"), none)),
-        ("0002", _long(rows.where("doc_id % 10 = 3"), "revise", F.col("m"), F.col("n"))),
-        ("0003", _long(rows.where("doc_id % 10 = 7"), "delete", none, F.col("n"))),
+        ("0001", changes_of(rows, "insert", F.col("n_text"), none)),
+        ("0002", changes_of(rows.where("doc_id % 10 = 3"), "revise", F.col("n_edited"), F.col("n_text"))),
+        ("0003", changes_of(rows.where("doc_id % 10 = 7"), "delete", none, F.col("n_text"))),
     ):
         for _ in range(2):
             store.commit(batch, changes)
+        if batch == "0002":
+            store.compact()
     return store.totals()
-
-
-def oracle() -> str:
-    one = "coalesce(len(regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')), 0)"
-    two = "coalesce(len(regexp_extract_all({t}, '[A-Za-z0-9]+|[^A-Za-z0-9\\x20\\x09-\\x0D]')), 0)"
-    return f"""
-WITH d AS (SELECT source, lang, CASE WHEN doc_id % 10 = 3 THEN regexp_replace(text, '\\n[^\\n]*$', '') ELSE text END AS t
-  FROM documents WHERE doc_id IS NULL OR doc_id % 10 <> 7),
-c AS (SELECT source, lang, 'words-1' AS version, {one.format(t="t")} AS n FROM d
-  UNION ALL SELECT source, lang, 'parts-1', {two.format(t="t")} FROM d)
-SELECT source, lang, version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM c GROUP BY ALL"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tailwatch.llm import chat, lm, mixing, near_dup, pieces, quality, secrets, token_counts, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no public tokenizer files")
 
 
@@ -456,16 +457,67 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     want = {("a", "en", "v1", 2, 12), (None, None, "v1", 1, 5)}
     assert set(map(tuple, store.totals().collect())) == want
     store.compact()
-    assert not store.commit("2", one) and set(map(tuple, store.totals().collect())) == want and store.committed() == {"1", "2"}
-    os.makedirs(f"{tmp_path}/r/batch=3")  # left by a failed attempt
-    assert store.commit("3", make()) and set(map(tuple, store.totals().collect())) == want
+    assert not store.commit("2", one) and set(map(tuple, store.totals().collect())) == want and store.committed("1") and store.committed("2") and not store.committed("3")
+    make().write.parquet(f"{tmp_path}/r/batch=3/attempt=x")  # left by a failed attempt
+    os.makedirs(f"{tmp_path}/r/batch=4")
+    open(f"{tmp_path}/r/batch=4/_published", "w").close()  # its writer died in the middle
+    assert not store.committed("3") and not store.committed("4")
+    assert store.commit("3", make()) and store.commit("4", one) and not store.commit("4", one)
+    assert set(map(tuple, store.totals().collect())) == {("a", "en", "v1", 4, 22), (None, None, "v1", 2, 10), ("b", "en", "v1", 1, 7)}
     with pytest.raises(Exception, match="unknown kind"):
-        store.commit("4", make(("a", "en", "v1", "other", 1, 1, 1)))
-    assert "4" not in store.committed()
+        store.commit("5", make(("a", "en", "v1", "other", 1, 1, 1)))
+    assert not store.committed("5")
     with pytest.raises(ValueError):
         store.commit("a/b", one)
 
 
+def test_a_crash_while_compacting_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    one = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], "source string, lang string, version string, kind string, n_tokens long, old_tokens long")
+    store = token_counts.Rollup(spark, f"{tmp_path}/r")
+    for i in range(5):
+        assert store.commit(str(i), one)
+        if i % 2:
+            with monkeypatch.context() as m:  # the new fold is complete, and nothing is deleted
+                m.setattr(store, "_remove_folded", lambda: None)
+                store.compact()
+        assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v1", i + 1, 10 * (i + 1))]
+    os.makedirs(f"{tmp_path}/r/folded=00000003/rows")  # a fold that never was completed
+    assert store.totals().first().tokens == 50
+    store.compact()
+    assert store.totals().first().tokens == 50 and sorted(os.listdir(f"{tmp_path}/r")) == ["folded=00000003"] and all(store.committed(str(i)) for i in range(5))
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    make = lambda n: spark.createDataFrame([("a", "en", "v1", "insert", n, None)], "source string, lang string, version string, kind string, n_tokens long, old_tokens long")
+    store = token_counts.Rollup(spark, f"{tmp_path}/r")
+    store.commit("0", make(1))
+    for name, n in (("p", 10), ("q", 20)):  # both wrote their attempt before either published
+        token_counts._summed(token_counts.signed(make(n))).write.parquet(f"{tmp_path}/r/batch=1/attempt={name}")
+    assert store._publish("1", "q") and not store._publish("1", "p") and store.totals().first().tokens == 21
+
+
+@needs_model
+def test_counts_of_published_tokenizers(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = [(3, "one two\nlast é line", "en", "a"), (13, None, "en", "a"), (7, "gone", "en", "a"), (1, "", None, None), (2, "long " * 50_000, "en", "b"), (None, "no id", "en", "a"), (1, "same id", "en", "a")]
+    counts = token_counts.counted(documents(spark, rows, extra=True), ["text"], ["doc_id", "n_chars"])
+    want = sorted(str((i, None if t is None else [len(t.split()), len(model.encode(t))])) for i, t, *_ in rows)
+    assert sorted(str((r.doc_id, r.n_text)) for r in counts.collect()) == want
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    total = defaultdict(lambda: [0, 0])
+    for d in docs:
+        if d.doc_id % 10 != 7:
+            text = re.sub(r"\n[^\n]*\Z", "", d.text or "") if d.doc_id % 10 == 3 else d.text or ""
+            for v, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", text))), ("pieces-32k", len(model.encode(text)))):
+                total[d.source, d.lang, v][0] += 1
+                total[d.source, d.lang, v][1] += n
+    got = token_counts.op1_token_counts(spark, SF).collect()
+    assert {(r.source, r.lang, r.version): [r.docs, r.tokens] for r in got} == dict(total) and len(got) == len(total)
+
+
+
 # subword pieces
 
 ODD = ["", " ", "  a  b\n\tc ", "日本語テキスト🙂", "aaaa" * 300, "<s></s> <unk> <0x0A>", "x▁y", "▁", "tab\tsep", "é" * 50, "Trailing ", "\u0000\u0001"]
