@@ -9,12 +9,14 @@ and payload digest are all validated.
 
 Equal payloads are written once: of the pages with a payload of ``MIN_PAYLOAD`` bytes or more, the
 one with the smallest page_id is a response and the others are revisits of it without a payload,
-whose HTTP header keeps the payload's length.
+whose HTTP header keeps the payload's length. A response's record id is its page_id and payload digest, any other's its
+page_id and a number of its own, so no two records share one. Pages are dealt to archives of about ``ARCHIVE`` bytes of
+payload, so a reader holds no more of one than that.
 
 Cases: a null html is an empty payload; a null url leaves the target out; control characters in a url
-are percent-encoded; rows that repeat the response's page_id are responses too; a row with a null
-page_id is always a response; extra columns are ignored; an empty table gives no archive and no
-record.
+are percent-encoded; of rows that repeat the smallest page_id one is the response and the others revisit it; a null
+page_id comes after all others, and a revisit of a response without page_id refers to none; extra columns are ignored; an
+empty table gives no archive and no record.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, save, scratch_path, small_batches
+from .common import buckets, drop, read, save, scratch_path, small_batches
 
 MIN_PAYLOAD = 0
 #: Fixed values of the formats: magic numbers, and the profile of a revisit.
@@ -42,26 +44,29 @@ SEPARATOR = struct.pack("<II", SKIPPABLE, 0).decode()
 DATE = "2024-01-01T00:00:00Z"
 #: Records and bytes that a dictionary is trained on, its size, and the compression level.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 200, 1 << 20, 16384, 3
+#: Payload bytes of an archive, and of the smaller ones that a small table is dealt to.
+ARCHIVE, SMALL_ARCHIVE = 256 << 20, 8 << 20
 
 
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _uri(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _uri(page_id, own: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{own}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
-    """One WARC record."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_uri(page_id)}", f"WARC-Date: {DATE}"]
+def record(page_id, url: str | None, payload: bytes | None, own: str, revisits: tuple | None = None) -> bytes:
+    """One WARC record. ``revisits``: (page_id, payload length, payload digest) of the response that it repeats."""
+    target, length, sha1 = revisits or (None, len(payload), digest(payload))
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
+    block = http if revisits else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {_uri(page_id, own)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: {_uri(refers_to)}", f"WARC-Profile: {PROFILE}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    if revisits:
+        head += [f"WARC-Refers-To: {_uri(target, sha1)}", f"WARC-Profile: {PROFILE}"]
+    head += [f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -169,32 +174,46 @@ def parse(data: bytes) -> dict:
     return fields | {"payload": payload, "payload_bytes": size}
 
 
-def _written(batches):
-    def records():
+def _written(min_payload: int):
+    def records(batches):
         for b in batches:
-            for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
-                yield record(page_id, url, html or b"", refers_to)
+            for n, page_id, url, html, revisit, first in zip(*(b.column(i).to_pylist() for i in range(6))):
+                html = html or b""
+                if revisit:
+                    yield record(page_id, url, None, str(n), (first, len(html), digest(html)))
+                else:
+                    yield record(page_id, url, html, digest(html) if len(html) >= min_payload else str(n))
 
-    for frame in archive(records()):
-        yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])
+    def run(batches):
+        for frame in archive(records(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])
+
+    return run
 
 
 def write(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
-    """Write ``pages`` (page_id, url, html) as archives under ``path``, one per partition."""
-    small_batches(pages.sparkSession)
-    pages, html = pages.select("page_id", "url", "html"), F.coalesce("html", F.lit(""))
-    ids = pages.select("page_id", F.sha1(html).alias("sha1"), F.octet_length(html).alias("size")).where(F.col("size") >= min_payload)
-    first = ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = save(ids.join(first, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct(), "revisits")
-    rows = pages.withColumn("sha1", F.sha1(html)).join(again, ["page_id", "sha1"], "left")
-    rows = rows.select("page_id", "url", html.cast("binary").alias("html"), "first")
-    rows.mapInArrow(_written, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    """Write ``pages`` (page_id, url, html) as archives under ``path``."""
+    spark = pages.sparkSession
+    small_batches(spark)
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    # numbered once and written, so that every later step sees the same numbers
+    pages = save(pages.select(F.monotonically_increasing_id().alias("n"), "page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("size")), "pages", "zstd")
+    ids = pages.select("n", "page_id", "sha1", "size").where(F.col("size") >= min_payload)
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("first")
+    first = ids.groupBy("sha1").agg(least, F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "first")
+    again = save(ids.join(first, "sha1").where("n <> first.n").select("n", F.lit(True).alias("revisit"), F.col("first.page_id").alias("first")), "revisits")
+    total = pages.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // ARCHIVE), min(buckets(spark), -(-total // SMALL_ARCHIVE)))
+    rows = pages.select("n", "page_id", "url", "html").repartition(parts, "n").join(again.repartition(parts, "n"), "n", "left")
+    rows = rows.select("n", "page_id", "url", "html", F.coalesce("revisit", F.lit(False)).alias("revisit"), "first")
+    rows.mapInArrow(_written(min_payload), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    drop(pages, again)
 
 
 def _parsed(batches):
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "archive", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    number = lambda uri: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")) else None
+    number = lambda uri: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+):\w+>", uri or "")) else None
     for b in batches:
         for name, data in zip(b.column(0).to_pylist(), b.column(1)):
             rows = []
@@ -225,9 +244,10 @@ def oracle() -> str:
     return f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h FROM p),
-f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS nth FROM d)
 SELECT page_id, n AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('{letters}', (((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (5 * (3 - i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
-FROM d JOIN f USING (h)"""
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first END AS refers_to
+FROM r JOIN f USING (h)"""

@@ -372,18 +372,19 @@ def test_archives_round_trip(spark, tmp_path):
     warc.write(df, f"{tmp_path}/w")
     got = warc.read_archives(spark, f"{tmp_path}/w").collect()
     assert len(got) == len(rows)
-    first = {}
+    want, groups = Counter(), defaultdict(list)
     for i, _, h in rows:
-        if i is not None:
-            first[h or ""] = min(i, first.get(h or "", i))
-    html = {i: h or "" for i, _, h in rows}
-    html[9] = None  # two payloads under one id
-    for r in got:
-        if r.page_id not in (9, None):
-            h = html[r.page_id]
-            assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), warc.digest(h.encode()))
-            assert (r.record_type, r.refers_to) == (("response", None) if first[h] == r.page_id else ("revisit", first[h]))
-    assert Counter(r.record_type for r in got if r.page_id is None) == {"response": 1}
+        groups[h or ""].append(i)
+    for h, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i or 0))
+        for nth, i in enumerate(ids):
+            want[i, len(h.encode()), warc.digest(h.encode()), "revisit" if nth else "response", ids[0] if nth else None] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    records = [r for p in (tmp_path / "w").iterdir() if p.suffix == ".txt" for _, r in warc.frames(p.read_bytes())]
+    fields = [warc.parse(r) for r in records]
+    assert len({f["WARC-Record-ID"] for f in fields}) == len(rows)
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    assert {f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"} <= responses
     data = open(next(p for p in (tmp_path / "w").iterdir() if p.suffix == ".txt" and p.stat().st_size > 8), "rb").read()
     assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY and struct.unpack("<I", data[4:8])[0] > 0
 
@@ -397,12 +398,12 @@ def test_small_payloads_and_empty_tables(spark, tmp_path):
 
 
 def test_broken_archives_are_refused():
-    good = b"".join(warc.archive([warc.record(1, "u", b"x" * 100, None)]))
+    good = b"".join(warc.archive([warc.record(1, "u", b"x" * 100, "a")]))
     assert [warc.parse(r)["payload"] for _, r in warc.frames(good)] == [b"x" * 100]
     for bad in (good[:-3], good + b"junk1234", good[:-20] + b"\0" * 20):
         with pytest.raises((ValueError, zstandard.ZstdError)):
             [warc.parse(r) for _, r in warc.frames(bad)]
-    raw = warc.record(1, "u", b"abc", None)
+    raw = warc.record(1, "u", b"abc", "a")
     for old, new in ((b"abc", b"abd"), (b"WARC/1.1", b"WARC/9.9"), (b"WARC-Date: ", b"WARC-When: "), (b"charset", b"charse")):
         with pytest.raises(ValueError):
             warc.parse(raw.replace(old, new))
