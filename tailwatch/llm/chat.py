@@ -7,8 +7,9 @@ turns back from the output. The machine says whether a conversation's turns are
 order; a conversation that is not is formatted all the same and marked invalid.
 
 Conversations are streamed: rows are dealt by conversation and sorted by turn inside each
-partition, and no more than one turn is held at a time, so a conversation may have any number of
-rows. Its digests run over all its turns in order, which one task must do.
+partition, and no more output than ``HELD`` characters and one turn is held at a time, so a conversation may have any
+number of rows. Its digests run over all its turns in order, which one task must do. They see nothing but the output and
+the spans of its loss mask: the reader takes the turns from the joined segments, and the loss text is cut by the spans.
 
 Cases: a null text counts as empty; a null role as the role with the empty name; other roles than
 the template's get its general form, and their order is invalid; a null conv_id is one conversation;
@@ -58,6 +59,8 @@ class Template:
 
 
 TEMPLATE = Template()
+#: Characters of output after which what is joined so far is read back.
+HELD = 1 << 20
 
 
 def escape(text: str, pattern: re.Pattern) -> str:
@@ -157,22 +160,34 @@ def _digests(template: Template):
 
     class Digest:
         def __init__(self, conv):
-            self.conv, self.n, self.loss_chars, self.chars = conv, 0, 0, 0
+            self.conv, self.n, self.loss_chars, self.chars, self.read = conv, 0, 0, 0, 0
             self.turns, self.loss, self.machine = hashlib.sha256(), hashlib.sha256(), Machine(template)
+            self.output, self.spans = [], []
 
         def add(self, role, text):
+            """Append a turn to the output; spans are places in the whole output."""
             self.machine.step(role)
-            parts = segments(template, pattern, role, text, self.n == 0)
-            out = "".join(p for p, _ in parts)
-            self.chars += len(out)
-            for got_role, got in reader.turns(out):
+            for part, loss in segments(template, pattern, role, text, self.chars == 0):
+                if loss:
+                    self.spans.append((self.chars, self.chars + len(part)))
+                self.output.append(part)
+                self.chars += len(part)
+            if self.chars - self.read >= HELD:
+                self.read_back()
+
+        def read_back(self):
+            joined = "".join(self.output)
+            for role, text in reader.turns(joined):
                 self.n += 1
-                self.turns.update(f"{got_role}\n{got}\n".encode())
-            under = "".join(unescape(p) for p, loss in parts if loss)
-            self.loss_chars += len(under)
-            self.loss.update(under.encode())
+                self.turns.update(f"{role}\n{text}\n".encode())
+            for a, b in self.spans:
+                under = unescape(joined[a - self.read : b - self.read])
+                self.loss_chars += len(under)
+                self.loss.update(under.encode())
+            self.read, self.output, self.spans = self.chars, [], []
 
         def row(self):
+            self.read_back()
             return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.machine.valid()
 
     def run(batches):
