@@ -9,31 +9,33 @@ enter. The essential lists are traversed, which gives candidates with partial sc
 non-essential dimension, largest bound first, is probed for the candidates that its and the remaining
 bounds keep competitive. Shards are searched apart and their best merged.
 
-Every query meets every shard, in groups of ``SHARD`` vectors and ``QUERIES`` queries, so a task's memory
-is bounded; vectors are dealt to shards by row, not by id, so an id with very many rows is spread.
+The vectors are written once, dealt over all partitions by row, and stay there: queries go to them, ``QUERIES`` at a
+time, as a broadcast of that many vectors. A task streams its shard in blocks and carries each query's best rows and floor
+from block to block; it ends with at most k rows a query, which one window merges over the shards.
 
 Cases: vectors that are null or hold a null or non-finite component take no part; an empty vector
 scores 0 with all; a missing component counts as 0; rows with the query's own vec_id are not its
 candidates; repeated rows of other ids are candidates each; a query row that is repeated counts
 once, and of several vectors under one query id each is a query, told apart by nothing but its
-results; ties go to the smaller vec_id; an empty table gives an empty result. Sums are exact for
-components below 2**20.
+results; ties go to the smaller vec_id; an empty table gives an empty result. Sums that could leave 64 bits are
+taken in whole numbers of any size, and a result that does fails the query; a null vec_id is neither query nor candidate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, save
+from .common import buckets, read, save, small_batches
 
 K = 10
 SCALE = 1024
-SHARD = 4096
-QUERIES = 1024
+QUERIES = 8192
 #: Documents between two updates of a query's k-th best score.
 BLOCK = 1024
 RESULT = "query_id long, query_no long, vec_id long, score long"
@@ -58,10 +60,17 @@ class Postings:
             self.lists.append(((up, w[up]), (down, w[down])))
         self.most = self.by_dim.max(1, initial=0)
         self.least = self.by_dim.min(1, initial=0)
+        self.peak = np.maximum(self.most.astype(float), -self.least.astype(float))
+
+    def fits(self, q: np.ndarray) -> bool:
+        """Whether no sum can leave 64 bits."""
+        return float(np.abs(q.astype(float)) @ self.peak) < 2.0**62
 
 
 def search(block: Postings, q: np.ndarray, floor_score: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(documents of the block, scores) that reach ``floor_score``; all of them if it is None."""
+    if not block.fits(q):
+        return _exact(block, q, floor_score)
     n = len(block.ids)
     bound = np.where(q > 0, q * block.most, q * block.least)
     order = np.argsort(bound, kind="stable")
@@ -86,21 +95,29 @@ def search(block: Postings, q: np.ndarray, floor_score: int | None) -> tuple[np.
     return alive, score[alive]
 
 
-def best(blocks: list[Postings], q: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (vec_id, score) over blocks, without documents of the id ``own``."""
-    ids, scores, floor_score = np.empty(0, np.int64), np.empty(0, np.int64), None
-    for b in blocks:
-        at, s = search(b, q, floor_score)
-        found = b.ids[at]
-        other = found != own
-        ids, scores = np.concatenate([ids, found[other]]), np.concatenate([scores, s[other]])
-        if len(ids) > k:
-            keep = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[keep], scores[keep]
-        if len(ids) == k:
-            floor_score = int(scores.min())
-    order = np.lexsort((ids, -scores))
-    return ids[order], scores[order]
+def _exact(block: Postings, q: np.ndarray, floor_score: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same for numbers so large that sums are taken one by one."""
+    sums = [sum(int(a) * int(b) for a, b in zip(q, row)) for row in block.by_dim.T]
+    at = [i for i, s in enumerate(sums) if floor_score is None or s >= floor_score]
+    return np.array(at, np.int64), np.array([sums[i] for i in at], np.int64)  # raises OverflowError beyond 64 bits
+
+
+class Best:
+    """A query's k best rows so far, without those of its own id."""
+
+    def __init__(self, q: np.ndarray, own: int, k: int = K):
+        self.q, self.own, self.k, self.floor = q, own, k, None
+        self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def meet(self, block: Postings) -> None:
+        at, s = search(block, self.q, self.floor)
+        found = block.ids[at]
+        other = found != self.own
+        ids, scores = np.concatenate([self.ids, found[other]]), np.concatenate([self.scores, s[other]])
+        keep = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[keep], scores[keep]
+        if len(keep) == self.k:
+            self.floor = int(self.scores[-1])
 
 
 def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -111,36 +128,73 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _search_shard(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-    schema = pa.schema([("query_id", pa.int64()), ("query_no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    if not len(vectors) or not len(queries):
-        return schema.empty_table()
-    width = max(pc.max(pc.list_value_length(t["v"])).as_py() for t in (vectors, queries))
-    ids, rows = vectors["vec_id"].to_numpy(), _matrix(vectors["v"], width)
-    blocks = [Postings(ids[i : i + BLOCK], rows[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-    out = []
-    for own, no, q in zip(queries["query_id"].to_pylist(), queries["query_no"].to_pylist(), _matrix(queries["v"], width)):
-        found, scores = best(blocks, q, own)
-        out.append((np.full(len(found), own), np.full(len(found), no), found, scores))
-    return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
+def _widest(lists: pa.ChunkedArray) -> int:
+    return pc.max(pc.list_value_length(lists)).as_py() or 0
+
+
+def _search(queries, k: int):
+    """The best rows of a shard (vec_id, v) for each of the broadcast queries."""
+    def run(batches):
+        table = pa.ipc.open_stream(queries.value).read_all()
+        width = _widest(table["v"])
+        found = [Best(q, own, k) for own, q in zip(table["query_id"].to_pylist(), _matrix(table["v"], width))]
+        for block in _blocks(batches, width):
+            for f in found:
+                f.meet(block)
+        for i in range(0, len(found), 1000):
+            rows = [(f.own, n, f.ids, f.scores) for n, f in zip(table["query_no"].to_pylist()[i : i + 1000], found[i : i + 1000])]
+            repeat = [len(ids) for _, _, ids, _ in rows]
+            columns = [np.repeat([r[j] for r in rows], repeat) for j in (0, 1)] + [np.concatenate([r[j] for r in rows]) for j in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "query_no", "vec_id", "score"])
+
+    return run
+
+
+def _blocks(batches, width: int):
+    """Postings of BLOCK rows; components beyond ``width`` meet none of any query."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BLOCK:
+            yield _postings(held, width)
+            held, n = [], 0
+    if n:
+        yield _postings(held, width)
+
+
+def _postings(batches: list, width: int) -> Postings:
+    t = pa.Table.from_batches(batches)
+    return Postings(t["vec_id"].to_numpy(), _matrix(t["v"], max(width, _widest(t["v"])))[:, :width])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` (vec_id, v) for each query."""
-    vectors = save(vectors.where("vec_id IS NOT NULL").withColumn("place", F.monotonically_increasing_id()), "vectors")
-    queries = save(queries.where("query_id IS NOT NULL").distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
-    shards = -(-vectors.count() // SHARD)
-    groups = -(-queries.count() // QUERIES)
-    if not shards or not groups:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = vectors.select("vec_id", "v", deal("place", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    right = queries.select("query_id", "query_no", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), deal("query_no", groups).alias("part"))
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(_search_shard, RESULT)
+    spark = vectors.sparkSession
+    small_batches(spark, BLOCK)
+    vectors = vectors.where("vec_id IS NOT NULL").withColumn("place", F.monotonically_increasing_id()).repartition(buckets(spark), "place")
+    vectors = save(vectors.select("vec_id", "v"), "vectors")
+    queries = queries.where("query_id IS NOT NULL").distinct().withColumn("query_no", F.monotonically_increasing_id())
+    queries = save(queries, "queries")
+    rounds = -(-queries.count() // QUERIES)
+    parts = []
+    for r in range(rounds):
+        block = queries.where(F.pmod(F.xxhash64("query_no"), F.lit(rounds)) == r)
+        parts.append(vectors.mapInArrow(_search(spark.sparkContext.broadcast(_stream(block.toArrow())), k), RESULT))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = reduce(DataFrame.union, parts)
     order = Window.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def op6_topk(spark, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").where(usable(F.col("embedding"))).select("vec_id", whole(F.col("embedding")).alias("v"))
     return top_k(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v"))

@@ -362,6 +362,19 @@ def test_machine_orders_and_loss(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_digests_do_not_depend_on_where_the_output_is_read(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(c, t, ["user", "assistant"][t % 2], rng.choice(["</s>[INST]", "é\\", "", "long "]) * rng.randrange(60)) for c in range(9) for t in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(tuple, chat.digests(df).collect()))
+    monkeypatch.setattr(chat, "HELD", 5)
+    assert sorted(map(tuple, chat.digests(df).collect())) == whole
+    for r in whole:
+        texts = [(role, x) for c, _, role, x in rows if c == r[0]]
+        said = "".join(x for role, x in texts if role == "assistant")
+        assert r[1:5] == (20, hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in texts).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 # archives
 
 
@@ -433,6 +446,23 @@ def test_maxscore_equals_brute_force(spark):
     assert topk.top_k(few, few.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "v")).count() == 3
 
 
+def test_large_numbers_and_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in rng.integers(-(2**31), 2**31, 3)]) for i in range(60)] + [(60, [2**31, 2**31, 2**31]), (61, [-1, 2, 5, 7])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    good = df.where("vec_id <> 60")
+    got = Counter(map(tuple, topk.top_k(good, good.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "v"), 5).collect()))
+    want = Counter()
+    for q, qv in rows[:8]:
+        best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in rows if i not in (q, 60))[:5]
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert got == want
+    wrong = spark.createDataFrame([(0, [2**62, 0]), (1, [4, 0])], "vec_id long, v array<bigint>")
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.top_k(wrong, wrong.select(F.col("vec_id").alias("query_id"), "v")).collect()
+
+
 def test_search_skips_documents_that_cannot_enter():
     rng = np.random.default_rng(1)
     rows = np.where(rng.random((2000, 30)) < 0.1, rng.integers(1, 100, (2000, 30)), 0)
