@@ -143,7 +143,9 @@ def slot_table(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix: one row per slot with (shard, rank, k, block)."""
     counts = prefix_sum(shard_counts(sources), ["rank"], "shard", "c", "first")
     end = F.least(F.col("first") + F.col("c"), F.col("most"))
-    slots = counts.where(end > F.col("first")).withColumn("k", F.explode(F.sequence(F.col("first"), end - 1)))
+    # few rows make very many: dealt by a number of partitions that is not lowered to the rows' size
+    counts = counts.where(end > F.col("first")).repartition(buckets(sources.sparkSession), "rank", "shard")
+    slots = counts.withColumn("k", F.explode(F.sequence(F.col("first"), end - 1)))
     return slots.select("shard", "rank", "k", permute(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), seed + 1, F.col("rank")).alias("block"))
 
 
