@@ -16,7 +16,8 @@ from .registry import query
 EVENTS = """SELECT stock, date, earnings_date, CAST(year(earnings_date) AS INT) AS y, sector, reaction_1d AS r1, reaction_3d AS r, abs_reaction_3d AS a, is_large_reaction AS lg, is_extreme_reaction AS ex,
   earnings_explosiveness_score AS s, earnings_explosiveness_bucket AS b, is_high_conviction AS hc, abs_reaction_median AS med, abs_reaction_p75 AS p75, abs_reaction_p75_rolling AS p75r,
   vol_30d AS vol, vol_ratio_10_to_30 AS vr, stock_vs_sector_vol AS svs, surprise_streak AS streak, surprise_momentum_flag AS sflag, pre_earnings_drift_flag AS dflag, pre_earnings_drift_z AS z,
-  momentum_fragility_score AS fr, vol_expansion_score AS vx, directional_bias AS bias, reaction_entropy AS ent FROM {scored} WHERE is_earnings_day = 1"""
+  momentum_fragility_score AS fr, vol_expansion_score AS vx, directional_bias AS bias, reaction_entropy AS ent, sector_earnings_density AS dens, vol_stress_elevated AS vsl, vol_stress_extreme AS vse,
+  sector_vol_stress_high AS ssh, momentum_pressure_regime AS mpr, vol_ratio_cross_sectional_pct AS vrp, sector_vol_ratio_pct AS svp, earnings_explosiveness_z AS ez, earnings_tail_z AS etz, proximity_score AS px FROM {scored} WHERE is_earnings_day = 1"""
 
 
 def _text(template: str, quantile: str) -> str:
