@@ -49,18 +49,22 @@ def shrunk_stats(events: DataFrame, *keys, prior: float = CONFIG.prior) -> DataF
 
 
 def dashboard(scored: DataFrame, years: int = 5) -> DataFrame:
-    """Events of the last years with their tier's statistics."""
+    """Events of the last years with their tier's statistics, raw and drawn towards the base rate."""
     events = scored.where("is_earnings_day = 1")
-    stats = shrunk_stats(events).select("earnings_explosiveness_bucket", "hist_extreme_prob", "lift_vs_base", "n_events")
+    stats = shrunk_stats(events)
+    own = F.try_divide(F.col("n_extreme").cast("double"), F.col("n_events"))
+    stats = stats.withColumn("global_hist_prob", own).withColumn("lift_vs_same_bucket", F.try_divide("hist_extreme_prob", own))
+    shown = ["hist_extreme_prob", "global_hist_prob", "base_extreme_prob", "lift_vs_base", "lift_vs_same_bucket"]
+    stats = stats.select("earnings_explosiveness_bucket", "n_events", "n_extreme", *shown)
     since = scored.agg(F.add_months(F.max("date"), -12 * years).alias("_since"))
     rows = events.crossJoin(F.broadcast(since)).where("earnings_date >= _since").join(stats, "earnings_explosiveness_bucket", "left")
     return rows.select(
-        "stock", "earnings_date", "sector", "earnings_explosiveness_bucket", F.bround("earnings_explosiveness_score", 0).alias("score"), F.bround("hist_extreme_prob", 3).alias("hist_extreme_prob"),
-        F.bround("lift_vs_base", 3).alias("lift_vs_base"), "n_events", "reaction_3d", "is_high_conviction", "surprise_momentum_flag", "pre_earnings_drift_flag",
+        "stock", "earnings_date", "sector", "sub_sector", "is_large_reaction", "is_extreme_reaction", "earnings_explosiveness_bucket", F.bround("earnings_explosiveness_score", 0).alias("score"),
+        "momentum_fragility_score", "abs_reaction_3d", *[F.bround(c, 3).alias(c) for c in shown], "n_events", "n_extreme", "reaction_3d", "is_high_conviction", "surprise_momentum_flag", "pre_earnings_drift_flag",
     )
 
 
-_KEPT = ["earnings_date", "sector", "earnings_explosiveness_score", "earnings_explosiveness_bucket", "abs_reaction_p75", "surprise_momentum_flag", "pre_earnings_drift_flag", "days_to_earnings"]
+_KEPT = ["earnings_date", "sector", "earnings_explosiveness_score", "earnings_explosiveness_bucket", "abs_reaction_p75", "abs_reaction_p75_rolling", "surprise_momentum_flag", "pre_earnings_drift_flag", "days_to_earnings"]
 
 
 def latest_rows(scored: DataFrame) -> DataFrame:
@@ -68,20 +72,38 @@ def latest_rows(scored: DataFrame) -> DataFrame:
     return last_known(scored, "stock", "date", _KEPT)
 
 
-def upcoming(scored: DataFrame, iv: DataFrame | None = None) -> DataFrame:
-    """Stocks with an event to come, ranked among themselves."""
+def tail() -> Column:
+    """What peers are ranked by, and implied moves compared with: the rolling tail, or the expanding one before there is any."""
+    return F.coalesce("abs_reaction_p75_rolling", "abs_reaction_p75")
+
+
+def peer_percentile() -> Column:
+    return F.coalesce((percent_rank(tail()) * 100).cast("int"), F.lit(0))
+
+
+EPS = ["eps_avg", "eps_high", "eps_low", "eps_num_analysts", "eps_dispersion", "eps_revision_momentum"]
+
+
+def upcoming(scored: DataFrame, iv: DataFrame | None = None, eps: DataFrame | None = None) -> DataFrame:
+    """Stocks with an event to come, ranked among themselves, with the latest implied moves and estimates."""
     today = F.broadcast(scored.agg(F.max("date").alias("_today")))
     rows = latest_rows(scored).crossJoin(today).where("earnings_date >= _today")
-    pct = F.coalesce((percent_rank(F.col("earnings_explosiveness_score")) * 100).cast("int"), F.lit(0))
     sure = F.coalesce((F.col("earnings_explosiveness_bucket") == HIGH) & (F.col("pre_earnings_drift_flag") != ""), F.lit(False))
-    rows = rows.withColumns({"peer_percentile": pct, "is_high_conviction": sure, "days_to_earnings": F.datediff("earnings_date", "_today")}).drop("_today")
+    rows = rows.withColumns({"peer_percentile": peer_percentile(), "is_high_conviction": sure, "days_to_earnings": F.datediff("earnings_date", "_today")}).drop("_today")
     if iv is not None:
         rows = rows.join(iv.select("stock", "expected_move_pct"), "stock", "left")
-        ratio = F.when(F.col("abs_reaction_p75") > 0, F.bround(F.try_divide("expected_move_pct", "abs_reaction_p75"), 2))
+        ratio = F.when(tail() > 0, F.bround(F.try_divide(F.col("expected_move_pct"), tail()), 2))
         rows = rows.withColumn("iv_vs_hist_ratio", ratio)
+    if eps is not None:
+        rows = rows.join(eps.select("stock", *EPS, F.col("snapshot_date").alias("eps_snapshot_date")), "stock", "left")
     return rows
 
 
+def suspicious_dates(ahead: DataFrame, days: int = 90) -> DataFrame:
+    """Upcoming events so far ahead that their date is probably wrong."""
+    return ahead.where(F.col("days_to_earnings") > days)
+
+
 def fragility_labels(events: DataFrame) -> DataFrame:
     cuts = events.agg(F.percentile("momentum_fragility_score", 0.75).alias("_p75"), F.percentile("momentum_fragility_score", 0.9).alias("_p90"))
     s = F.col("momentum_fragility_score")
@@ -90,12 +112,28 @@ def fragility_labels(events: DataFrame) -> DataFrame:
 
 
 def calendar(scored: DataFrame, window_days: int = 14, back_days: int = 7) -> DataFrame:
-    """Event rows of a window that starts ``back_days`` before the last event, with statistics and labels."""
+    """Event rows of a window that starts ``back_days`` before the last event, with statistics and labels, by day and falling score."""
     events = scored.where("is_earnings_day = 1")
     ref = F.broadcast(events.agg(F.date_sub(F.max("earnings_date"), back_days).alias("_ref")))
     rows = fragility_labels(events).crossJoin(ref).where("earnings_date BETWEEN _ref AND date_add(_ref, %d) AND earnings_explosiveness_bucket IS NOT NULL" % window_days)
-    stats = shrunk_stats(events).select("earnings_explosiveness_bucket", "hist_extreme_prob", "lift_vs_base")
-    return rows.join(stats, "earnings_explosiveness_bucket", "left").select("stock", "earnings_date", "sector", "earnings_explosiveness_bucket", "earnings_explosiveness_score", "fragility_flag", "hist_extreme_prob", "lift_vs_base")
+    stats = shrunk_stats(events).select("earnings_explosiveness_bucket", "hist_extreme_prob", "base_extreme_prob", "lift_vs_base")
+    day = Window.partitionBy("earnings_date").orderBy(F.col("earnings_explosiveness_score").desc(), "stock")
+    return rows.join(stats, "earnings_explosiveness_bucket", "left").select(
+        "stock", "earnings_date", "sector", "sub_sector", "earnings_explosiveness_bucket", "earnings_explosiveness_score", "fragility_flag", "is_high_conviction", "surprise_momentum_flag", "pre_earnings_drift_flag",
+        "hist_extreme_prob", "base_extreme_prob", "lift_vs_base", F.row_number().over(day).alias("nth"),
+    ).orderBy("earnings_date", "nth")
+
+
+def calendar_summary(rows: DataFrame) -> DataFrame:
+    """One row over a calendar: its days, counts, average score, busiest sector (of equal ones the first by name) and base rate."""
+    per = rows.where("sector IS NOT NULL").groupBy("sector").count()
+    top = F.broadcast(per.agg(F.min_by("sector", F.struct(-F.col("count"), "sector")).alias("hottest_sector")))  # one row
+    tier = F.col("earnings_explosiveness_bucket")
+    return rows.agg(
+        F.min("earnings_date").alias("first_day"), F.max("earnings_date").alias("last_day"), F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("fragility_flag") != "").alias("n_elevated_frag"),
+        F.count_if("is_high_conviction").alias("n_high_conviction"), F.bround(F.avg("earnings_explosiveness_score"), 1).alias("avg_risk_score"), F.bround(F.max("base_extreme_prob") * 100, 1).alias("base_extreme_pct"),
+        *[F.count_if(tier == t).alias(n) for t, n in ((HIGH, "n_high_alert"), (ELEVATED, "n_elevated"), (NORMAL, "n_normal"))],
+    ).crossJoin(top)
 
 
 def calendar_days(rows: DataFrame) -> DataFrame:
@@ -116,6 +154,11 @@ def tier_class() -> Column:
     return F.when(F.col("is_high_conviction"), "hc").when(b == HIGH, "high").when(b == ELEVATED, "mid").otherwise("low")
 
 
+def tier_label() -> Column:
+    """What a tier is called in public: high conviction within high alert."""
+    return F.element_at(F.create_map(*[F.lit(x) for x in ("hc", "HIGH CONVICTION ★", "high", "HIGH ALERT", "mid", "ELEVATED", "low", "NORMAL")]), tier_class())
+
+
 def last_reactions(events: DataFrame, n: int = 16) -> DataFrame:
     """The last ``n`` reactions of each stock."""
     w = Window.partitionBy("stock").orderBy(F.col("earnings_date").desc())
@@ -127,7 +170,7 @@ def stock_reports(scored: DataFrame, ahead: int = 7) -> DataFrame:
     events = scored.where("is_earnings_day = 1")
     own = shrunk_stats(events, "stock").select("stock", "earnings_explosiveness_bucket", "hist_extreme_prob", "base_extreme_prob", "lift_vs_base", "n_events")
     everyone = latest_rows(scored)
-    ranked = everyone.withColumn("peer_percentile", F.coalesce((percent_rank(F.col("earnings_explosiveness_score")) * 100).cast("int"), F.lit(0)))
+    ranked = everyone.withColumn("peer_percentile", peer_percentile())
     today = F.broadcast(scored.agg(F.max("date").alias("_today")))
     rows = ranked.crossJoin(today).where("earnings_date BETWEEN _today AND date_add(_today, %d)" % ahead).drop("_today")
     rows = rows.join(own, ["stock", "earnings_explosiveness_bucket"], "left")
@@ -148,7 +191,7 @@ def recommendation() -> Column:
         .otherwise("Normal: no sign of an unusual move.")
     )
     s, d = F.col("surprise_momentum_flag"), F.col("pre_earnings_drift_flag")
-    streak = F.when(s == "Beat Streak", "A streak of large beats has raised the bar.").when(s == "Miss Streak", "A streak of misses has lowered the bar.").when(s == "Erratic", "Surprises have been erratic.")
+    streak = F.when(s == "Extended Beat Streak", "A long run of beats is due to end.").when(s == "Beat Streak", "A streak of large beats has raised the bar.").when(s == "Miss Streak", "A streak of misses has lowered the bar.").when(s == "Erratic", "Surprises have been erratic.")
     drift = F.when(d == "Extended", "The price has run up more than usual into the event.").when(d == "Compressed", "The price has sold off more than usual into the event.")
     return F.concat_ws(" ", head, facts, streak, drift)
 
@@ -160,16 +203,28 @@ def track_record(scored: DataFrame, weeks: int = 6) -> DataFrame:
     since = F.broadcast(events.agg(F.date_sub(F.max("earnings_date"), 7 * weeks).alias("_since")))
     rows = events.crossJoin(since).where(F.col("earnings_date") >= F.col("_since")).where(F.col("earnings_explosiveness_bucket").isin(HIGH, ELEVATED)).where("best_reaction IS NOT NULL")
     return rows.select(
-        "stock", "earnings_date", F.to_date(F.date_trunc("week", "earnings_date")).alias("week_start"), tier_class().alias("tier"),
-        F.bround(F.col("best_reaction") * 100, 2).alias("move_pct"), (F.abs("best_reaction") >= CONFIG.extreme).alias("extreme"),
+        "stock", "earnings_date", F.to_date(F.date_trunc("week", "earnings_date")).alias("week_start"), tier_class().alias("tier"), tier_label().alias("tier_label"),
+        F.bround(F.col("best_reaction") * 100, 2).alias("move_pct"), (F.abs("best_reaction") >= CONFIG.extreme).alias("extreme"), F.bround("earnings_explosiveness_score", 1).alias("risk_score"),
     ).orderBy(F.col("earnings_date").desc(), F.abs("move_pct"), "stock")
 
 
-def track_record_json(rows: DataFrame) -> DataFrame:
-    """The record as one JSON document: a summary and its rows."""
-    entry = F.struct(F.col("earnings_date").cast("string").alias("date"), "stock", "tier", "move_pct", "extreme")
-    doc = rows.agg(F.count(F.lit(1)).alias("events"), F.count_if("extreme").alias("extremes"), F.sort_array(F.collect_list(entry), False).alias("rows"))
-    return doc.select(F.to_json(F.struct("events", "extremes", "rows")).alias("document"))
+def track_record_json(rows: DataFrame, generated: Column | None = None, weeks: int = 6) -> DataFrame:
+    """The public record as one JSON document: when and what, a summary, and the calls, newest day first, smaller moves first."""
+    call = F.struct(
+        F.col("earnings_date").cast("string").alias("earnings_date"), F.col("week_start").cast("string").alias("week_start"), F.col("stock").alias("ticker"), F.col("tier").alias("tier_class"), "tier_label",
+        "move_pct", F.abs("move_pct").alias("abs_move_pct"), F.col("extreme").alias("is_extreme_move"), "risk_score",
+    )
+    place = F.struct((-F.unix_date("earnings_date")).alias("d"), F.abs("move_pct").alias("m"), "stock", call.alias("call"))
+    flagged = F.col("tier").isin("hc", "high")
+    last = F.max("earnings_date").cast("string") if generated is None else generated
+    doc = rows.agg(
+        last.alias("generated"), F.count(F.lit(1)).alias("total_calls"), F.count_if(flagged).alias("high_alert_calls"), F.count_if(flagged & F.col("extreme")).alias("high_alert_extreme_moves"),
+        F.transform(F.sort_array(F.collect_list(place)), lambda x: x["call"]).alias("calls"),
+    )
+    summary = F.struct(F.lit(weeks).alias("weeks"), "total_calls", "high_alert_calls", "high_alert_extreme_moves")
+    return doc.select(F.to_json(F.struct(
+        "generated", F.lit("Public record of completed calls.").alias("description"), F.lit("Completed events only.").alias("delay_policy"),
+        F.lit(CONFIG.extreme * 100).alias("extreme_move_threshold_pct"), summary.alias("summary"), "calls")).alias("document"))
 
 
 def week_results(scored: DataFrame, returns: DataFrame) -> DataFrame:
@@ -181,6 +236,17 @@ def week_results(scored: DataFrame, returns: DataFrame) -> DataFrame:
     return rows.join(returns, ["stock", "date"], "left").withColumn("moved", moved).withColumn("tier_rank", tier_rank())
 
 
+def recent_hit_rate(scored: DataFrame, returns: DataFrame, lookback_days: int = 9) -> DataFrame:
+    """Of the scored events of the last days, by tier, of the flagged tiers and of all: how many moved by +3 days, cumulated."""
+    today = F.broadcast(scored.agg(F.max("date").alias("_today")))
+    rows = scored.where("is_earnings_day = 1 AND earnings_explosiveness_bucket IS NOT NULL").crossJoin(today)
+    rows = rows.where("earnings_date >= date_sub(_today, %d) AND earnings_date < _today" % lookback_days).join(returns, ["stock", "date"], "left")
+    b = F.col("earnings_explosiveness_bucket")
+    groups = F.explode(F.array_compact(F.array(b, F.when(b.isin(HIGH, ELEVATED), "flagged"), F.lit("all"))))
+    return rows.withColumn("tier", groups).groupBy("tier").agg(
+        F.count(F.lit(1)).alias("n"), F.count("cum_3").alias("known"), F.count_if(F.coalesce(F.abs("cum_3") >= CONFIG.large, F.lit(False))).alias("moved"))
+
+
 def joined_calendar(history: DataFrame, ahead: DataFrame) -> DataFrame:
     """History and upcoming events in one table; on a tie the history stays."""
     both = history.withColumn("_p", F.lit(0)).unionByName(ahead.withColumn("_p", F.lit(1)), allowMissingColumns=True)
