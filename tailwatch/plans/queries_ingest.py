@@ -26,26 +26,14 @@ def s05(spark, sf):
     return ingest.clean_universe(raw, "t", d.where("status = 'inactive'"))
 
 
-@query("s12_price_payload", sql(f"SELECT stock, date, {r6('price')} FROM prices WHERE date > {_TODAY} - 200"))
+@query("s12_price_payload", sql(f"SELECT stock, date, {r6('price')} FROM prices"))
 def s12(spark, sf):
-    """Of all rows, which go through the payload, the last 200 days."""
-    return _with_today(s12_all(spark, sf), spark, sf).where(F.col("date") > F.date_sub("_today", 200)).drop("_today")
-
-
-@query("s12_price_payload_all", sql(f"SELECT stock, date, {r6('price')} FROM prices"))
-def s12_all(spark, sf):
     body = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("string"), F.col("price").cast("string")))))
     return files.price_payload(derived.prices(spark, sf).groupBy("stock").agg(body.alias("body")))
 
 
-@query("s13_earnings_payload", sql(f"SELECT stock, earnings_date, {r6('reported_eps estimated_eps surprise_percentage')} FROM earnings WHERE earnings_date > {_TODAY} - 400"))
+@query("s13_earnings_payload", sql(f"SELECT stock, earnings_date, {r6('reported_eps estimated_eps surprise_percentage')} FROM earnings"))
 def s13(spark, sf):
-    """Of all rows, which go through the payload, the last 400 days."""
-    return _with_today(s13_all(spark, sf), spark, sf).where(F.col("earnings_date") > F.date_sub("_today", 400)).drop("_today")
-
-
-@query("s13_earnings_payload_all", sql(f"SELECT stock, earnings_date, {r6('reported_eps estimated_eps surprise_percentage')} FROM earnings"))
-def s13_all(spark, sf):
     e = derived.earnings(spark, sf)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     row = F.struct(
@@ -55,17 +43,8 @@ def s13_all(spark, sf):
     return files.earnings_payload(e.groupBy("stock").agg(F.to_json(F.collect_list(row)).alias("body"))).drop("fiscal_end_date")
 
 
-_FIVE = [f"S{i:05d}" for i in range(5)]
-
-
-@query("s14_close_matrix", sql(f"SELECT date, stock, {r6('price')} FROM prices WHERE stock IN ({', '.join(repr(s) for s in _FIVE)})"))
+@query("s14_close_matrix", sql(f"SELECT date, stock, {r6('price')} FROM prices"))
 def s14(spark, sf):
-    """Of the matrices of all stocks, the rows of five."""
-    return s14_all(spark, sf).where(F.col("stock").isin(_FIVE))
-
-
-@query("s14_close_matrix_all", sql(f"SELECT date, stock, {r6('price')} FROM prices"))
-def s14_all(spark, sf):
     prices = derived.prices(spark, sf)
     batches = files.batched(prices.select("stock"))
     return files.close_rows(files.close_matrices(prices, batches), batches)
@@ -79,9 +58,13 @@ def p01(spark, sf):
     return e.select("event_id", parse_number(number).alias("number"), parse_date(day).alias("day"))
 
 
-@query("p12_last_price", sql("SELECT max(date) AS last_date, max(date) >= max(date) - 10 AS fresh FROM prices"))
+@query("p12_last_price", sql("SELECT stock, max(date) AS last_date, max(date) >= (SELECT max(date) FROM prices) - 10 AS fresh FROM prices GROUP BY stock"))
 def p12(spark, sf):
-    return derived.prices(spark, sf).agg(F.max("date").alias("last_date")).withColumn("fresh", F.col("last_date") >= F.date_sub("last_date", 10))
+    """Each stock's last price, and whether it is of the last ten days; ``stages.assert_fresh`` raises for a whole frame."""
+    prices = derived.prices(spark, sf)
+    today = F.broadcast(prices.agg(F.max("date").alias("_today")))  # one row
+    last = prices.groupBy("stock").agg(F.max("date").alias("last_date")).crossJoin(today)
+    return last.select("stock", "last_date", (F.col("last_date") >= F.date_sub("_today", 10)).alias("fresh"))
 
 
 @query("d02_insert_or_ignore", sql(f"SELECT stock, snapshot_date, snapshot_hour, event_id, {r6('atm_iv')} FROM (SELECT *, row_number() OVER (PARTITION BY stock, snapshot_date, snapshot_hour ORDER BY event_id % 2, event_id) AS n FROM iv_feed) WHERE n = 1"))

@@ -12,12 +12,12 @@ from test_oracle import SF, tables, test_query_equals_its_sql as equals_its_sql
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["s14_close_matrix", "s14_close_matrix_all"])
+@pytest.mark.parametrize("name", ["s14_close_matrix"])
 def test_close_matrices_equal_their_sql(spark, tables, name):  # noqa: F811
     equals_its_sql(spark, tables, name)
 
 
-@pytest.mark.parametrize("name", ["s12_price_payload", "s12_price_payload_all", "s13_earnings_payload", "s13_earnings_payload_all"])
+@pytest.mark.parametrize("name", ["s12_price_payload", "s13_earnings_payload"])
 def test_payloads_equal_their_sql(spark, tables, name):  # noqa: F811
     equals_its_sql(spark, tables, name)
 
@@ -41,7 +41,7 @@ def test_close_matrices_cover_every_stock_in_several_batches(spark):
     assert batches.agg(F.countDistinct("batch")).first()[0] > 1
     got = files.close_rows(files.close_matrices(prices, batches, 3), batches)
     assert got.count() == prices.count() and got.select("stock").distinct().count() == prices.select("stock").distinct().count()
-    assert {r.stock for r in registry.QUERIES["s14_close_matrix_all"](spark, SF).select("stock").distinct().collect()} == {r.stock for r in derived.prices(spark, SF).select("stock").distinct().collect()}
+    assert {r.stock for r in registry.QUERIES["s14_close_matrix"](spark, SF).select("stock").distinct().collect()} == {r.stock for r in derived.prices(spark, SF).select("stock").distinct().collect()}
 
 
 @pytest.mark.parametrize("name", ["l02_incremental", "l02_incremental_features"])
