@@ -21,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of our own only where none is configured."""
+    """The folder that the cluster shares; a folder of our own only where none is configured and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         root = tempfile.mkdtemp(prefix="tailwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tailwatch"
