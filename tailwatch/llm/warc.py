@@ -228,7 +228,8 @@ def _parsed(batches):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives under ``path``."""
+    """A row per record of the archives under ``path``; a worker holds one archive at a time."""
+    small_batches(spark, 1)
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(_parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, offset long")
 
