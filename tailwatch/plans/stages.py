@@ -44,12 +44,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables, so that a changed table gives new frames."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A stage's frame as Parquet in the shared folder, computed once per application.
+    """A stage's frame as Parquet in the shared folder, computed once per application and state of the tables.
 
     The next stage reads it several times, so without it each of those plans would hold all stages before.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, sf_dir), name)
     if key not in _frames:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         path = f"{root.rstrip('/')}/tailwatch-{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import escape
+from html.parser import HTMLParser
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,47 @@ def index_members(table: DataFrame) -> DataFrame:
     )
 
 
+class _Table(HTMLParser):
+    """The cells of a page's first table."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows, self.depth, self.over, self.cell = [], 0, False, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.depth += 1
+        if self.depth != 1 or self.over:
+            return
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows:
+            self.cell = []
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self.cell is not None and self.depth == 1:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+        elif tag == "table":
+            self.depth -= 1
+            self.over |= self.depth == 0
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+def html_table(spark: SparkSession, page: str) -> DataFrame:
+    """The first table of one HTML page, named by its first row; all columns are strings."""
+    parser = _Table()
+    parser.feed(page)
+    head, *rows = [r for r in parser.rows if r] or [[]]
+    if not head:
+        raise ValueError("the page has no table")
+    rows = [tuple((r + [None] * len(head))[: len(head)]) for r in rows]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in head))
+
+
 def price_payload(raw: DataFrame) -> DataFrame:
     """(stock, date, price) from (stock, body): a JSON map of dates to values."""
     rows = raw.select("stock", F.explode(F.from_json("body", "map<string,string>")).alias("d", "v"))
@@ -104,6 +148,32 @@ def write_text(df: DataFrame, path: str, widths: dict) -> None:
     df.select(F.concat(*cells).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_html(df: DataFrame, path: str, title: str, most: int = 1000) -> None:
+    """A small result as one HTML page; larger ones belong into the other sinks."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a page holds at most {most} rows")
+    cell = lambda tag, x: f"<{tag}>{escape('-' if x is None else str(x))}</{tag}>"
+    lines = ["".join(cell("th", c) for c in df.columns), *("".join(cell("td", x) for x in r) for r in rows)]
+    page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{''.join(f'<tr>{x}</tr>' for x in lines)}</table></body></html>"
+    df.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+_run_folders: dict[tuple, str] = {}
+
+
+def run_folder(spark: SparkSession, base: str, day) -> str:
+    """The folder of a day's run, emptied on the first call of this application and kept by later ones."""
+    key = (spark.sparkContext.applicationId, base, str(day))
+    if key not in _run_folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/output_{day:%Y_%m_%d}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(path, True)
+        fs.mkdirs(path)
+        _run_folders[key] = f"{base.rstrip('/')}/output_{day:%Y_%m_%d}"
+    return _run_folders[key]
+
+
 def latest_run(names: list[str]) -> str | None:
     """The last of the dated run folders."""
     return max(names, default=None)

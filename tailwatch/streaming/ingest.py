@@ -27,14 +27,16 @@ def daily_last(snapshots: DataFrame, value: str, ts: str = "ts", delay: str = "1
 
 
 def insert_batches(path: str, keys, order) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: each batch is a folder of its own, so a replayed one replaces itself,
-    and holds only keys that no earlier batch has."""
+    """A ``foreachBatch`` function: each batch is a partition of one table, so a replayed one replaces itself,
+    and holds only keys that no other batch has. The table is found by one listing, with or without gaps."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = first_of_key(batch, list(keys), list(order))
-        if number:
-            before = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(*[f"{path}/batch={i}" for i in range(number)])
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            schema = rows.select(*keys).withColumn("batch", F.lit(0).cast("long")).schema
+            before = spark.read.schema(schema).parquet(path).where(F.col("batch") < number).select(*keys)
             rows = rows.join(before, list(keys), "left_anti")
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -1,5 +1,6 @@
 """Files, sinks and streams."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -47,6 +48,26 @@ def test_members_and_run_folders(spark):
     assert files.latest_run(["2024-01-02", "2024-02-01"]) == "2024-02-01" and files.latest_run([]) is None
 
 
+def test_html_tables_and_pages(spark, tmp_path):
+    page = "<p>x</p><table id=a><tr><th>Symbol<th>Security</th></tr>".replace("<th>Security", "</th><th>Security") + "<tr><td>BRK.B</td><td>A &amp; <b>B</b>\n</td></tr><tr><td>C</td></tr></table><table><tr><td>other</td></tr></table>"
+    t = files.html_table(spark, page)
+    assert t.columns == ["Symbol", "Security"] and [tuple(r) for r in t.collect()] == [("BRK.B", "A & B"), ("C", None)]
+    files.write_html(t, f"{tmp_path}/h", "T <1>")
+    again = "\n".join(read_text(spark, f"{tmp_path}/h"))
+    assert "T &lt;1&gt;" in again and [tuple(r) for r in files.html_table(spark, again).collect()] == [("BRK.B", "A & B"), ("C", "-")]
+
+
+def test_a_run_folder_is_emptied_once(spark, tmp_path):
+    day = datetime.date(2024, 2, 1)
+    old = tmp_path / "output_2024_02_01"
+    old.mkdir()
+    (old / "stale").write_text("x")
+    path = files.run_folder(spark, f"{tmp_path}", day)
+    assert path == str(old) and not (old / "stale").exists()
+    (old / "kept").write_text("x")
+    assert files.run_folder(spark, f"{tmp_path}", day) == path and (old / "kept").exists()
+
+
 def test_joined_calendar_prefers_history(spark):
     h = spark.createDataFrame([("A", "d1", 1)], "stock string, earnings_date string, h int")
     u = spark.createDataFrame([("A", "d1"), ("B", "d2")], "stock string, earnings_date string")
@@ -57,7 +78,7 @@ def test_stream_batches_replace_themselves(spark, tmp_path):
     write = streams.insert_batches(f"{tmp_path}/t", ["k"], ["v"])
     one = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     two = spark.createDataFrame([(2, "z"), (3, "d")], "k int, v string")
-    for number, batch in ((0, one), (0, one), (1, two), (1, two)):
+    for number, batch in ((0, one), (0, one), (7, two), (7, two)):  # a replay, and numbers with a gap
         write(batch, number)
     rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/t")
     assert sorted(map(tuple, rows.select("k", "v").collect())) == [(1, "a"), (2, "c"), (3, "d")]
