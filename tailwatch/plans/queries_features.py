@@ -219,7 +219,7 @@ _CACHED = "abs_reaction_median abs_reaction_p75 surprise_mean_5 earnings_explosi
 
 @query("a08_last_known", sql("SELECT stock, " + ", ".join(f"round(arg_max({c}, date) FILTER ({c} IS NOT NULL), 6) + 0.0 AS {c}" for c in _CACHED.split()) + " FROM scored GROUP BY stock"))
 def a08(spark, sf):
-    return ingest.last_known(_scored(spark, sf), "stock", "date", _CACHED.split())
+    return stages.last_known(spark, sf, _CACHED.split())
 
 
 @query("p10_facets", sql("SELECT stock, date, earnings_explosiveness_bucket FROM scored WHERE is_earnings_day = 1 AND sector IN ('ASIA', 'EUROPE') AND earnings_explosiveness_bucket IN ('High Alert', 'Elevated') AND earnings_explosiveness_score BETWEEN 75 AND 95"))

@@ -36,7 +36,7 @@ def _events(spark, sf):
 
 @mart("a09_shrunk_stats", f"SELECT earnings_explosiveness_bucket, n_events, n_extreme, {r6('avg_abs_reaction base_extreme_prob hist_extreme_prob lift_vs_base')} FROM stats")
 def a09(spark, sf):
-    return marts.shrunk_stats(_events(spark, sf))
+    return marts.shrunk_stats(stages.event_frame(spark, sf, ["is_extreme_reaction", "earnings_explosiveness_bucket", "abs_reaction_3d"]))
 
 
 _SHOWN = "hist_extreme_prob global_hist_prob base_extreme_prob lift_vs_base lift_vs_same_bucket".split()
@@ -212,7 +212,7 @@ def c20_flags(spark, sf):
 @query("l02_incremental", sql(f"SELECT s.stock, s.date, {r6('daily_ret')}, round(l.v, 6) + 0.0 AS earnings_explosiveness_score FROM scored s JOIN (SELECT stock, arg_max(earnings_explosiveness_score, date) FILTER (earnings_explosiveness_score IS NOT NULL) AS v FROM scored GROUP BY stock) l ON s.stock = l.stock WHERE s.date >= (SELECT max(date) FROM prices) - 20"))
 def l02(spark, sf):
     """Of the short run, the last days: daily returns anew, slow-moving values as they were."""
-    rows = stages.incremental(spark, sf, stages.scored_frame(spark, sf))
+    rows = stages.incremental(spark, sf)
     today = F.broadcast(rows.agg(F.max("date").alias("_today")))
     return rows.crossJoin(today).where("date >= date_sub(_today, 20)").select("stock", "date", "daily_ret", "earnings_explosiveness_score")
 
@@ -220,13 +220,13 @@ def l02(spark, sf):
 @query("l02_incremental_all")
 def l02_all(spark, sf):
     """All rows and columns of the short run."""
-    return stages.incremental(spark, sf, stages.scored_frame(spark, sf))
+    return stages.incremental(spark, sf)
 
 
 @query("l02_incremental_upcoming")
 def l02_upcoming(spark, sf):
     """What the short run exports."""
-    return marts.upcoming(stages.incremental(spark, sf, stages.scored_frame(spark, sf)))
+    return marts.upcoming(stages.incremental(spark, sf))
 
 
 _SINCE = "(SELECT max(date) FROM prices) - 90"
