@@ -8,7 +8,8 @@ back to every chunk, whose documents become packed pieces, which the fit and the
 training documents, and nothing that grows with the corpus is broadcast or collected.
 
 The model predicts the class of the next piece (``CLASSES`` classes of equal mass, word starts apart)
-by one head of causal attention in numpy, and the piece within its class by its count. Windows of
+by one head of causal attention in numpy, and from the same output the piece within its class, by binary decisions
+along its Huffman code among the class's pieces (``Codes``), which begin at the pieces' counts. Windows of
 ``WINDOW`` positions overlap by ``OVERLAP``, so each token is scored once, with at least that much context inside a
 document. Its weights are fitted in one pass over adjoining windows of all training documents: a replica for each input
 split, in ``ROUNDS`` rounds over parts of the documents, after each of which the replicas' weights are averaged.
@@ -20,6 +21,8 @@ counts are 0, nothing is fitted and the model is the prior of its classes; extra
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -117,6 +120,84 @@ class Classes:
         self.into = (SINGLE + self.out).astype(np.int16)
         self.into[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
         self.prior = np.log(np.maximum(per, 1e-9) / per.sum()).astype(np.float32)
+        self.codes = Codes(mass, counts > 0, self.out)
+
+
+class Codes:
+    """Huffman codes of the pieces of each class: a piece is the decisions ``step[first[i] : first[i] + size[i]]``, each
+    a ``node`` and the side taken there; ``odds`` are the nodes' log-odds by count.
+
+    Pieces that no training text has are one leaf of their class and alike below it, as no fit could tell them apart.
+    """
+
+    def __init__(self, mass: np.ndarray, seen: np.ndarray, out: np.ndarray):
+        n, leaf, ahead, odds = len(mass), np.arange(len(mass)), [], []
+        self.rest = np.zeros(n, np.float32)
+        up, side = np.full(2 * n, -1), np.zeros(2 * n, np.float32)
+        for c in range(CLASSES):
+            unseen = np.flatnonzero((out == c) & ~seen)
+            heap = [(mass[i], i) for i in np.flatnonzero((out == c) & seen).tolist()]
+            if len(unseen):
+                heap.append((mass[unseen].sum(), int(unseen[0])))
+                leaf[unseen], self.rest[unseen] = unseen[0], np.log(mass[unseen] / mass[unseen].sum())
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+                up[[i, j]], side[[i, j]] = len(odds), (-1, 1)
+                heapq.heappush(heap, (a + b, n + len(odds)))
+                odds.append(np.log(b / a))
+        at, of = np.unique(leaf), np.unique(leaf)
+        while len(at := at[up[of] >= 0]):
+            of = of[up[of] >= 0]
+            ahead.append((at, up[of], side[of]))
+            of = n + up[of]
+        leaves, self.node, self.side = (np.concatenate(x) for x in zip(*ahead)) if ahead else (np.empty(0, int),) * 3
+        order = np.argsort(leaves, kind="stable")
+        self.node, self.side = self.node[order], self.side[order].astype(np.float32)
+        self.size = np.bincount(leaves, minlength=n)[leaf]
+        self.first = np.searchsorted(leaves[order], leaf)
+        self.odds = np.array(odds, np.float32)
+
+    def start(self) -> np.ndarray:
+        """Weights of the nodes at which only counts decide: DIM of each, then an offset of each."""
+        return np.zeros((DIM + 1) * len(self.odds), np.float32)
+
+    def decisions(self, t: tuple[np.ndarray, np.ndarray], h: np.ndarray, target: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """All decisions of the (live) rows' targets: (row, node, side, output of the row, weights of the node, log-odds of the side taken)."""
+        size = np.take(self.size, target)
+        if live is not None:
+            size *= live
+        ends = np.cumsum(size)
+        row = np.repeat(np.arange(len(target)), size)
+        step = np.repeat(np.take(self.first, target) - ends + size, size)
+        step += np.arange(len(row))
+        node, side = np.take(self.node, step), np.take(self.side, step)
+        x, y = np.take(h, row, axis=0), np.take(t[0], node, axis=0)
+        odds = (x * y) @ np.ones(DIM, h.dtype)
+        odds += np.take(t[1] + self.odds, node)
+        odds *= side
+        return row, node, side, x, y, np.maximum(odds, -60, out=odds)
+
+    def log_within(self, t: tuple[np.ndarray, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural-log probabilities of pieces within their classes, one for each row of outputs."""
+        row, *_, odds = self.decisions(t, h, target)
+        np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        return np.take(self.rest, target) - np.bincount(row, weights=np.log(odds, out=odds), minlength=len(target))
+
+    def gradients(self, t: tuple[np.ndarray, np.ndarray], h: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the cross-entropy of live rows' pieces within their classes, by the nodes' weights and by the outputs."""
+        row, node, side, x, y, odds = self.decisions(t, h, target, live)
+        np.exp(odds, out=odds)
+        odds += 1
+        odds *= -max(1, int(live.sum()))
+        np.divide(side, odds, out=odds)
+        x *= odds[:, None]
+        y *= odds[:, None]
+        by_node = [np.bincount(node, weights=v, minlength=len(t[1])) for v in (*x.T, odds)]
+        by_row = [np.bincount(row, weights=v, minlength=len(h)) for v in y.T]
+        return np.concatenate([np.stack(by_node[:-1], 1).ravel(), by_node[-1]]).astype(h.dtype), np.stack(by_row, 1).astype(h.dtype)
 
 
 SHAPES = (("E", (SINGLE + CLASSES, DIM)), ("P", (WINDOW, DIM)), ("q", (DIM, DIM)), ("k", (DIM, DIM)), ("v", (DIM, DIM)), ("o", (DIM, DIM)), ("c", (DIM, CLASSES)), ("b", (CLASSES,)))
@@ -149,10 +230,17 @@ def unpacked(data: bytes) -> dict:
 
 def _views(flat: np.ndarray) -> dict:
     """The weights as parts of one array."""
-    ends = np.cumsum([np.prod(s) for _, s in SHAPES])[:-1]
+    ends = np.cumsum([np.prod(s) for _, s in SHAPES])
     return {n: x.reshape(s) for (n, s), x in zip(SHAPES, np.split(flat, ends))}
 
 
+def of_nodes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """What of packed weights are those of the codes' nodes; None where there are none, so that counts decide within a class."""
+    flat = flat[sum(np.prod(s) for _, s in SHAPES) :]
+    n = len(flat) // (DIM + 1)
+    return (flat[: n * DIM].reshape(n, DIM), flat[n * DIM :]) if n else None
+
+
 def forward(w: dict, x_in: np.ndarray) -> dict:
     """Masked attention over windows of input rows (n, WINDOW)."""
     n, kind = len(x_in), w["E"].dtype
@@ -166,7 +254,7 @@ def forward(w: dict, x_in: np.ndarray) -> dict:
     v[:, :, DIM] = 1  # so that the product with the weights ends in their sum
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += _CAUSAL.astype(kind, copy=False)
-    np.exp(np.minimum(a, 60, out=a), out=a)
+    np.exp(_bounded(a), out=a)
     o = np.matmul(a, v).reshape(-1, DIM + 1)
     sums = np.maximum(o[:, DIM:], 1e-30)
     o = o[:, :DIM] / sums
@@ -176,7 +264,12 @@ def forward(w: dict, x_in: np.ndarray) -> dict:
 def _exponents(w: dict, h: np.ndarray) -> np.ndarray:
     z = h @ w["c"]
     z += w["b"]
-    return np.minimum(z, 60, out=z)
+    return _bounded(z)
+
+
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """At most 60, in place; the largest value is found faster than all are compared."""
+    return np.minimum(z, 60, out=z) if z.max(initial=0) > 60 else z
 
 
 def log_classes(w: dict, h: np.ndarray) -> np.ndarray:
@@ -192,8 +285,9 @@ def log_targets(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     return got - np.log(np.exp(z, out=z) @ np.ones(CLASSES, z.dtype))
 
 
-def gradients(w: dict, x_in: np.ndarray, target: np.ndarray, live: np.ndarray) -> dict:
-    """Of the mean cross-entropy of the ``live`` positions' target classes."""
+def gradients(w: dict, x_in: np.ndarray, target: np.ndarray, live: np.ndarray, below=None) -> dict:
+    """Of the mean cross-entropy of the ``live`` positions' target classes, and with ``below`` (codes, their nodes'
+    weights, target pieces) of the pieces within them; those by the nodes' weights are ``t``."""
     f = forward(w, x_in)
     n, kind = len(x_in), w["E"].dtype
     z = _exponents(w, f["h"])
@@ -203,13 +297,17 @@ def gradients(w: dict, x_in: np.ndarray, target: np.ndarray, live: np.ndarray) -
     z.ravel()[np.arange(0, z.size, CLASSES) + target.ravel()] -= share[:, 0]
     g = {"c": f["h"].T @ z, "b": np.ones(len(z), kind) @ z}
     dh = z @ w["c"].T
+    if below is not None:
+        codes, t, ids = below
+        g["t"], by_row = codes.gradients(t, f["h"], ids.ravel(), live.ravel())
+        dh += by_row
     g["o"] = f["o"].T @ dh
     do = dh @ w["o"].T
     do /= f["sums"]
     # the mean of a row's gradients under its weights is the product with its output; beside ones it is subtracted
     inner = np.empty((n, WINDOW, DIM + 1), kind)
     inner[:, :, :DIM] = do.reshape(n, WINDOW, DIM)
-    inner[:, :, DIM] = -np.einsum("ij,ij->i", do, f["o"]).reshape(n, WINDOW)
+    inner[:, :, DIM] = -((do * f["o"]) @ np.ones(DIM, kind)).reshape(n, WINDOW)
     ds = np.matmul(inner, f["v"].transpose(0, 2, 1))
     ds *= f["a"]
     d = np.empty((n, WINDOW, 3 * DIM), kind)
@@ -221,8 +319,8 @@ def gradients(w: dict, x_in: np.ndarray, target: np.ndarray, live: np.ndarray) -
     dx = dh  # the residual path
     dx += d @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
     g["P"] = dx.reshape(n, WINDOW, DIM).sum(0)
-    ids = x_in.ravel().astype(np.intp)[:, None] * DIM + np.arange(DIM)
-    g["E"] = np.bincount(ids.ravel(), weights=dx.ravel(), minlength=w["E"].size).reshape(-1, DIM).astype(kind)
+    ids = x_in.ravel().astype(np.intp)
+    g["E"] = np.stack([np.bincount(ids, weights=v, minlength=len(w["E"])) for v in dx.T], 1).astype(kind)
     return g
 
 
@@ -242,21 +340,22 @@ def windows(offsets: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np
 
 def _cut(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Rows of WINDOW values from each ``first``; ``values`` goes on WINDOW places beyond the last of them."""
-    return np.lib.stride_tricks.sliding_window_view(values, WINDOW)[first]
+    return np.take(values, first[:, None] + np.arange(WINDOW))
 
 
-def log10_probability(w: dict, classes: Classes, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each packed document, every token scored once."""
+def log10_probability(w: dict, classes: Classes, tokens: np.ndarray, offsets: np.ndarray, t: tuple | None = None) -> np.ndarray:
+    """log10 probability of each packed document, every token scored once; ``t``: the weights of the codes' nodes."""
     first, lo, hi, doc = windows(offsets)
     more = np.concatenate([tokens, np.zeros(WINDOW + 1, tokens.dtype)])
-    into, out, within = np.take(classes.into, more), np.take(classes.out, more), np.take(classes.within, more)
-    sums, place = np.zeros(len(first)), np.arange(WINDOW)
+    into, place = np.take(classes.into, more), np.arange(WINDOW)
+    sums = np.zeros(len(first))
     for i in range(0, len(first), BATCH):
         p = first[i : i + BATCH]
-        h = forward(w, _cut(into, p))["h"]
-        got = log_targets(w, h, _cut(out, p + 1).ravel()).reshape(-1, WINDOW) / _LN10 + _cut(within, p + 1)
-        scored = (place >= lo[i : i + BATCH, None]) & (place < hi[i : i + BATCH, None])
-        sums[i : i + BATCH] = np.where(scored, got, 0).sum(1, dtype=np.float64)
+        at = np.flatnonzero((place >= lo[i : i + BATCH, None]) & (place < hi[i : i + BATCH, None]))
+        h, ids = np.take(forward(w, _cut(into, p))["h"], at, axis=0), np.take(_cut(more, p + 1), at).astype(np.intp)
+        got = log_targets(w, h, np.take(classes.out, ids)) / _LN10
+        got += np.take(classes.within, ids) if t is None else classes.codes.log_within(t, h, ids) / _LN10
+        sums[i : i + BATCH] = np.bincount(at // WINDOW, weights=got, minlength=len(p))
     return np.bincount(doc, weights=sums, minlength=len(offsets) - 1)
 
 
@@ -287,10 +386,17 @@ def _joined(packs: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum([0, *map(len, packs)]) // np.dtype(kind).itemsize
 
 
-def _windows(path: str, packed_classes: bytes):
-    """Windows of packed documents as class numbers, shuffled within a batch: (inputs, targets, whether scored)."""
-    def run(batches):
-        kind, classes = _id_type(path), _classes_from(packed_classes)
+class _Windows:
+    """Windows of packed documents, shuffled within a batch: (input rows, target pieces, whether scored)."""
+
+    def __init__(self, path: str, packed_classes: bytes):
+        self.path, self.packed_classes = path, packed_classes
+
+    def classes(self) -> Classes:
+        return _classes_from(self.packed_classes)
+
+    def __call__(self, batches):
+        kind, classes = _id_type(self.path), self.classes()
         rng, place = np.random.default_rng(1), np.arange(WINDOW)
         for b in batches:
             if not b.num_rows:
@@ -298,12 +404,10 @@ def _windows(path: str, packed_classes: bytes):
             tokens, offsets = _joined(b.column(0).to_pylist(), kind)
             first, _, hi, _ = windows(offsets, overlap=0)
             more = np.concatenate([tokens, np.zeros(WINDOW + 1, tokens.dtype)])
-            into, out, order = np.take(classes.into, more), np.take(classes.out, more), rng.permutation(len(first))
+            into, order = np.take(classes.into, more), rng.permutation(len(first))
             for i in range(0, len(order), BATCH):
                 o = order[i : i + BATCH]
-                yield _cut(into, first[o]), _cut(out, first[o] + 1), place < hi[o, None]
-
-    return run
+                yield _cut(into, first[o]), _cut(more, first[o] + 1).astype(np.intp), place < hi[o, None]
 
 
 _kept_classes: dict = {}
@@ -320,15 +424,19 @@ def _classes_from(data: bytes) -> Classes:
 
 
 def _fit(weights: bytes, first: int, cut):
-    """One replica's Adam steps over the windows that ``cut`` makes of its partition, from common weights."""
+    """One replica's Adam steps over the windows that ``cut`` makes of its partition, from common weights. Its
+    targets are pieces if it names their classes, else classes."""
     def run(batches):
         from pyspark import TaskContext
 
         flat, n, step = np.frombuffer(weights, np.float32).copy(), 0, 0
         w, m, s = _views(flat), np.zeros_like(flat), np.zeros_like(flat)
+        t = of_nodes(flat)
+        classes = cut.classes() if hasattr(cut, "classes") else None
         for x_in, target, live in cut(batches):
-            g = gradients(w, x_in, target, live)
-            g = np.concatenate([g[k].ravel() for k, _ in SHAPES])
+            below = None if t is None else (classes.codes, t, target)
+            g = gradients(w, x_in, target if classes is None else np.take(classes.out, target), live, below)
+            g = np.concatenate([g[k].ravel() for k in (*(k for k, _ in SHAPES), "t") if k in g])
             step, n = step + 1, n + len(x_in)
             m += np.float32(0.1) * (g - m)
             g *= g
@@ -405,11 +513,11 @@ def _packed_texts(path: str, train_tokens: int, distinct: int, ends: int):
 
 def _scores(path: str, counts: bytes, weights: bytes, train_tokens: int):
     def run(batches):
-        kind, classes, w = _id_type(path), _classes_from(counts), unpacked(weights)
+        kind, classes, w, t = _id_type(path), _classes_from(counts), unpacked(weights), of_nodes(np.frombuffer(weights, np.float32))
         for b in batches:
             if b.num_rows:
                 tokens, offsets = _joined(b.column(5).to_pylist(), kind)
-                score = log10_probability(w, classes, tokens, offsets)
+                score = log10_probability(w, classes, tokens, offsets, t)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(np.full(b.num_rows, train_tokens)), b.column(4), pa.array(score)], schema=RESULT)
 
     return run
@@ -463,10 +571,11 @@ def scored(docs: DataFrame, path: str = pieces.MODEL) -> DataFrame:
     packs = save(packs, "tokens", "zstd")
     drop(chunks, lexicon)
 
-    prior = Classes(counts, codec.marked).prior
-    weights = packed(unfitted(prior))
+    classes = Classes(counts, codec.marked)
+    weights = packed(unfitted(classes.prior))
     if ends:
-        weights = fitted(packs.where(~F.col("held_out")).select("tokens"), packed(fresh(prior)), _windows(path, table))
+        start = packed(fresh(classes.prior)) + classes.codes.start().tobytes()
+        weights = fitted(packs.where(~F.col("held_out")).select("tokens"), start, _Windows(path, table))
     return packs.mapInArrow(_scores(path, table, weights, train_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

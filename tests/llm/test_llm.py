@@ -755,6 +755,101 @@ def test_fitting_lowers_held_out_loss(spark):
     assert held(lm.unpacked(weights)) < held(lm.unpacked(start)) - 0.1
 
 
+def noisy(classes, rng, kind=np.float32):
+    """Weights of the codes' nodes."""
+    return lm.of_nodes(np.concatenate([np.frombuffer(lm.packed(lm.fresh(classes.prior)), np.float32), rng.normal(0, 0.5, len(classes.codes.start()))]).astype(kind))
+
+
+def test_pieces_within_a_class_follow_the_context():
+    """Chances within each class sum to one, are the counts' without weights, and differ between outputs with them."""
+    rng = np.random.default_rng(3)
+    counts = np.where(rng.random(500) < 0.3, 0, rng.integers(1, 900, 500)).astype(float)
+    classes = lm.Classes(counts, rng.random(500) < 0.4)
+    every, h = np.arange(500), rng.normal(0, 1, (2, lm.DIM)).astype(np.float32)
+    of = lambda t, row: classes.codes.log_within(t, np.repeat(h[row : row + 1], 500, 0), every)
+    none = tuple(np.zeros_like(x) for x in noisy(classes, rng))
+    assert np.allclose(of(none, 0) / math.log(10), classes.within, atol=1e-5)
+    t = noisy(classes, rng)
+    assert all(np.allclose(np.bincount(classes.out, weights=np.exp(of(t, row)), minlength=lm.CLASSES), 1, atol=1e-4) for row in (0, 1))
+    assert np.abs(of(t, 0) - of(t, 1)).max() > 0.5
+    assert np.unique(of(t, 0)[(counts == 0) & (classes.out == 31)].round(4)).size <= 1
+
+
+def test_document_scores_equal_brute_force_with_weights_of_the_nodes():
+    classes, rng = model(4)
+    w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in lm.fresh(classes.prior).items()}
+    t, codes = noisy(classes, rng), classes.codes
+    tokens, offsets = rng.integers(0, 500, 300), np.array([0, 2, 33, 66, 200, 300])
+    got = lm.log10_probability(w, classes, tokens, offsets, t)
+    for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+        ids, total = tokens[a:b], brute_log10(w, classes, tokens[a:b])
+        for p in range(len(ids) - 1):
+            begin = 0
+            while p >= begin + lm.WINDOW:
+                begin += lm.WINDOW - lm.OVERLAP
+            x = np.array([[*(classes.into[i] for i in ids[begin : p + 1]), *[0] * (lm.WINDOW - (p + 1 - begin))]])
+            h, piece, chance = lm.forward(w, x)["h"][p - begin], ids[p + 1], 1.0
+            for k in range(codes.first[piece], codes.first[piece] + codes.size[piece]):
+                odds = h @ t[0][codes.node[k]] + t[1][codes.node[k]] + codes.odds[codes.node[k]]
+                chance /= 1 + math.exp(-codes.side[k] * odds)
+            total += math.log10(chance) - classes.within[piece]
+        assert got[d] == pytest.approx(total, abs=1e-3 * (b - a))
+
+
+def test_gradients_of_pieces_equal_differences():
+    classes, rng = model(6)
+    w = {k: v.astype(np.float64) for k, v in lm.fresh(classes.prior).items()}
+    x, ids = rng.integers(0, lm.SINGLE, (2, lm.WINDOW)), rng.integers(0, 500, (2, lm.WINDOW))
+    live, t = np.ones((2, lm.WINDOW), bool), noisy(classes, rng, np.float64)
+    live[:, : lm.OVERLAP] = False
+
+    def loss():
+        h = lm.forward(w, x)["h"]
+        got = lm.log_classes(w, h)[np.arange(live.size), classes.out[ids.ravel()]] + classes.codes.log_within(t, h, ids.ravel())
+        return -(got * live.ravel()).sum() / live.sum()
+
+    g = lm.gradients(w, x, classes.out[ids], live, (classes.codes, t, ids))
+    by_node = lm.of_nodes(np.concatenate([np.zeros(sum(v.size for v in w.values())), g["t"]]))
+    node = classes.codes.node[classes.codes.first[ids[1, 20]]]
+    places = [(w["E"], g["E"], (int(x[0, 9]), 1)), (w["q"], g["q"], (0, 0)), (w["o"], g["o"], (2, 3)), (t[0], by_node[0], (node, 2)), (t[1], by_node[1], (node,))]
+    for of, slope, at in places:
+        old = of[at]
+        of[at] = old + 1e-4
+        up = loss()
+        of[at] = old - 1e-4
+        down = loss()
+        of[at] = old
+        assert slope[at] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-8)
+
+
+@needs_model
+def test_the_fit_covers_pieces_within_their_classes(spark, monkeypatch):
+    """What is predicted within a class after a fit of texts whose words follow each other in a fixed order."""
+    words = [f"{a}{b}" for a in ("sta", "na", "rea", "foo", "lan") for b in ("tion", "ding", "der", "lem", "ber", "king", "ture", "gen")]
+    after = random.Random(1).sample(words, len(words))
+    rows, found = [], []
+    for i in range(400):
+        at = i % len(words)
+        text = []
+        for _ in range(60):
+            text.append(words[at])
+            at = words.index(after[at])
+        rows.append((i, " ".join(text), "en", "s"))
+    kept = lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda data, weights, cut: found.append((weights, kept(data, weights, cut), cut, data.limit(50).toArrow())) or found[-1][1])
+    assert lm.scored(documents(spark, rows)).count() == 400
+    (start, weights, cut, data), = found
+
+    def loss(packed):
+        w, t, total, n = lm.unpacked(packed), lm.of_nodes(np.frombuffer(packed, np.float32)), 0.0, 0
+        for x, ids, live in cut(data.to_batches()):
+            got = cut.classes().codes.log_within(t, lm.forward(w, x)["h"], ids.ravel())
+            total, n = total - got[live.ravel()].sum(), n + live.sum()
+        return total / n
+
+    assert loss(weights) < 0.9 * loss(start)
+
+
 # mixing
 
 
