@@ -196,8 +196,11 @@ class Codes:
         x *= odds[:, None]
         y *= odds[:, None]
         by_node = [np.bincount(node, weights=v, minlength=len(t[1])) for v in (*x.T, odds)]
-        by_row = [np.bincount(row, weights=v, minlength=len(h)) for v in y.T]
-        return np.concatenate([np.stack(by_node[:-1], 1).ravel(), by_node[-1]]).astype(h.dtype), np.stack(by_row, 1).astype(h.dtype)
+        by_row = np.zeros_like(h)
+        if len(row):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # a row's decisions adjoin
+            by_row[row[first]] = np.add.reduceat(y, first, axis=0)
+        return np.concatenate([np.stack(by_node[:-1], 1).ravel(), by_node[-1]]).astype(h.dtype), by_row
 
 
 SHAPES = (("E", (SINGLE + CLASSES, DIM)), ("P", (WINDOW, DIM)), ("q", (DIM, DIM)), ("k", (DIM, DIM)), ("v", (DIM, DIM)), ("o", (DIM, DIM)), ("c", (DIM, CLASSES)), ("b", (CLASSES,)))
@@ -241,24 +244,25 @@ def of_nodes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     return (flat[: n * DIM].reshape(n, DIM), flat[n * DIM :]) if n else None
 
 
-def forward(w: dict, x_in: np.ndarray) -> dict:
-    """Masked attention over windows of input rows (n, WINDOW)."""
-    n, kind = len(x_in), w["E"].dtype
+def forward(w: dict, x_in: np.ndarray, since: int = 0) -> dict:
+    """Masked attention over windows of input rows (n, WINDOW), with outputs of the places from ``since`` on."""
+    n, kind, places = len(x_in), w["E"].dtype, WINDOW - since
     x = np.take(w["E"], x_in, axis=0)
     x += w["P"]
     flat = x.reshape(-1, DIM)
-    q = (flat @ (w["q"] * kind.type(DIM**-0.5))).reshape(n, WINDOW, DIM)
+    late = x[:, since:].reshape(-1, DIM)
+    q = (late @ (w["q"] * kind.type(DIM**-0.5))).reshape(n, places, DIM)
     k = (flat @ w["k"]).reshape(n, WINDOW, DIM)
     v = np.empty((n, WINDOW, DIM + 1), kind)
-    np.matmul(x, w["v"], out=v[:, :, :DIM])
+    v[:, :, :DIM] = (flat @ w["v"]).reshape(n, WINDOW, DIM)
     v[:, :, DIM] = 1  # so that the product with the weights ends in their sum
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _CAUSAL.astype(kind, copy=False)
+    a += _CAUSAL[since:].astype(kind, copy=False)
     np.exp(_bounded(a), out=a)
     o = np.matmul(a, v).reshape(-1, DIM + 1)
     sums = np.maximum(o[:, DIM:], 1e-30)
     o = o[:, :DIM] / sums
-    return {"x": flat, "q": q, "k": k, "v": v, "a": a, "sums": sums, "o": o, "h": flat + o @ w["o"]}
+    return {"x": flat, "q": q, "k": k, "v": v, "a": a, "sums": sums, "o": o, "h": late + o @ w["o"]}
 
 
 def _exponents(w: dict, h: np.ndarray) -> np.ndarray:
@@ -310,11 +314,9 @@ def gradients(w: dict, x_in: np.ndarray, target: np.ndarray, live: np.ndarray, b
     inner[:, :, DIM] = -((do * f["o"]) @ np.ones(DIM, kind)).reshape(n, WINDOW)
     ds = np.matmul(inner, f["v"].transpose(0, 2, 1))
     ds *= f["a"]
-    d = np.empty((n, WINDOW, 3 * DIM), kind)
-    np.matmul(ds, f["k"] * kind.type(DIM**-0.5), out=d[:, :, :DIM])
-    np.matmul(ds.transpose(0, 2, 1), f["q"], out=d[:, :, DIM : 2 * DIM])
-    np.matmul(f["a"].transpose(0, 2, 1), inner[:, :, :DIM], out=d[:, :, 2 * DIM :])
-    d = d.reshape(-1, 3 * DIM)
+    # products of their own, put together after: into parts of one array they take half as long again
+    parts = [np.matmul(ds, f["k"] * kind.type(DIM**-0.5)), np.matmul(ds.transpose(0, 2, 1), f["q"]), np.matmul(f["a"].transpose(0, 2, 1), do.reshape(n, WINDOW, DIM))]
+    d = np.concatenate(parts, axis=2).reshape(-1, 3 * DIM)
     g["q"], g["k"], g["v"] = np.split(f["x"].T @ d, 3, axis=1)
     dx = dh  # the residual path
     dx += d @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
@@ -349,13 +351,20 @@ def log10_probability(w: dict, classes: Classes, tokens: np.ndarray, offsets: np
     more = np.concatenate([tokens, np.zeros(WINDOW + 1, tokens.dtype)])
     into, place = np.take(classes.into, more), np.arange(WINDOW)
     sums = np.zeros(len(first))
-    for i in range(0, len(first), BATCH):
-        p = first[i : i + BATCH]
-        at = np.flatnonzero((place >= lo[i : i + BATCH, None]) & (place < hi[i : i + BATCH, None]))
-        h, ids = np.take(forward(w, _cut(into, p))["h"], at, axis=0), np.take(_cut(more, p + 1), at).astype(np.intp)
-        got = log_targets(w, h, np.take(classes.out, ids)) / _LN10
-        got += np.take(classes.within, ids) if t is None else classes.codes.log_within(t, h, ids) / _LN10
-        sums[i : i + BATCH] = np.bincount(at // WINDOW, weights=got, minlength=len(p))
+    # a document's later windows have outputs of the places that they score alone
+    for since in np.unique(lo).tolist():
+        of = np.flatnonzero(lo == since)
+        for i in range(0, len(of), BATCH):
+            part = of[i : i + BATCH]
+            p, places = first[part], WINDOW - since
+            at = np.flatnonzero(place[since:] < hi[part, None])
+            h, ids = forward(w, _cut(into, p), since)["h"], np.take(more, (p + 1 + since)[:, None] + place[:places]).ravel()
+            if len(at) < len(h):
+                h, ids = np.take(h, at, axis=0), np.take(ids, at)
+            ids = ids.astype(np.intp)
+            got = log_targets(w, h, np.take(classes.out, ids)) / _LN10
+            got += np.take(classes.within, ids) if t is None else classes.codes.log_within(t, h, ids) / _LN10
+            sums[part] = np.bincount(at // places, weights=got, minlength=len(p))
     return np.bincount(doc, weights=sums, minlength=len(offsets) - 1)
 
 

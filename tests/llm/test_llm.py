@@ -941,3 +941,16 @@ def test_mixed_documents_hold_the_taken_words(spark):
         got[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text)
     assert mixed.columns == docs.columns and got == Counter({k: v for k, v in want.items() if v})
+
+
+def test_lm_late_places_have_the_outputs_of_whole_windows():
+    """Outputs of the places that a later window scores, without those of the places before."""
+    import numpy as np
+
+    from tailwatch.llm import lm
+
+    w = lm.fresh(np.zeros(lm.CLASSES, np.float32))
+    x_in = np.random.default_rng(5).integers(0, lm.SINGLE, (7, lm.WINDOW))
+    whole = lm.forward(w, x_in)["h"].reshape(7, lm.WINDOW, lm.DIM)
+    late = lm.forward(w, x_in, lm.OVERLAP)["h"].reshape(7, lm.WINDOW - lm.OVERLAP, lm.DIM)
+    assert np.allclose(late, whole[:, lm.OVERLAP :], rtol=1e-5, atol=1e-6)
